@@ -5,10 +5,13 @@ from __future__ import annotations
 from .packing import op1_packing
 from .quality_rules import op2_quality_rules
 from .token_counts import op3_token_counts
+from .warc import ORACLE as WARC_SQL
+from .warc import op6_warc
 
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_quality_rules": op2_quality_rules,
     "op3_token_counts": op3_token_counts,
+    "op6_warc": op6_warc,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_warc": WARC_SQL}
