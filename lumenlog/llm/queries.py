@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .packing import op1_packing
+from .quality_classifier import op10_quality_classifier
 from .quality_rules import op2_quality_rules
+from .secret_scan import op7_secret_scan
 from .token_counts import op3_token_counts
 from .warc import ORACLE as WARC_SQL
 from .warc import op6_warc
@@ -13,5 +15,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_token_counts": op3_token_counts,
     "op6_warc": op6_warc,
+    "op7_secret_scan": op7_secret_scan,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLES: dict[str, str] = {"op6_warc": WARC_SQL}
