@@ -167,8 +167,8 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, hot_pretok
     flat = source.mapInArrow(_per_document(hot), "row long, doc_id long, n_bytes long, n_tokens long, pretoken string, freq long")
     n = partitions(spark)
     # One pass over the texts feeds both: rows with no pre-token are dealt by row, the others by pre-token.
-    dealt = flat.withColumn("deal", F.when(F.col("pretoken").isNull(), F.xxhash64("row")).otherwise(F.xxhash64("pretoken")))
-    counted = dealt.repartition(n, "deal").sortWithinPartitions(F.col("pretoken").asc_nulls_first()).mapInArrow(_counted(model_path), "row long, doc_id long, n_bytes long, n_tokens long")
+    deal = F.when(F.col("pretoken").isNull(), F.xxhash64("row")).otherwise(F.xxhash64("pretoken"))  # not a column, so not shuffled
+    counted = flat.repartition(n, deal).sortWithinPartitions(F.col("pretoken").asc_nulls_first()).mapInArrow(_counted(model_path), "row long, doc_id long, n_bytes long, n_tokens long")
     return (
         counted.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n_tokens").alias("n_tokens"))
         .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
