@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .line_dedup import op8_line_dedup
 from .packing import op1_packing
+from .pii import op9_pii
 from .quality_classifier import op10_quality_classifier
 from .quality_rules import op2_quality_rules
 from .secret_scan import op7_secret_scan
@@ -16,6 +18,8 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op6_warc": op6_warc,
     "op7_secret_scan": op7_secret_scan,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_pii": op9_pii,
     "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLES: dict[str, str] = {"op6_warc": WARC_SQL}
