@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .line_dedup import op8_line_dedup
+from .ngram_join import op5_ngram_join
 from .packing import op1_packing
 from .pii import op9_pii
 from .quality_classifier import op10_quality_classifier
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_quality_rules": op2_quality_rules,
     "op3_token_counts": op3_token_counts,
+    "op5_ngram_join": op5_ngram_join,
     "op6_warc": op6_warc,
     "op7_secret_scan": op7_secret_scan,
     "op8_line_dedup": op8_line_dedup,
