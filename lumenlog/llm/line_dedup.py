@@ -12,10 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, text_of, written
+from .common import partitions, table, text_of, written
 
 MIN_CHARS = 20
-BLOCK = 256
+BLOCK, MOST_BLOCKS = 256, 6
 
 
 def stable(docs: DataFrame) -> DataFrame:
@@ -32,35 +32,39 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def _blocks(base: Column) -> Column:
-    return F.greatest(F.lit(2), F.ceil(base / BLOCK).cast("int"))
+    return F.least(F.greatest(F.lit(2), F.ceil(base / BLOCK).cast("int")), F.lit(MOST_BLOCKS))
 
 
-def _bounds(base: Column, i: Column) -> tuple[Column, Column]:
-    """Characters before block i, and characters after it, of a line of `base` characters."""
-    m = _blocks(base)
+def _bounds(base: Column, i: Column, m: Column) -> tuple[Column, Column]:
+    """Characters before block i of m, and characters after it, of a line of `base` characters."""
     return F.floor(i * base / m).cast("int"), base - F.floor((i + 1) * base / m).cast("int")
 
 
-def _block_keys(line: Column, shorter: int) -> Column:
-    """Hashes of the line without block i, for each i; `shorter`: 1 to meet lines with one character less."""
-    base = F.length(line) - shorter
-
-    def key(i: Column) -> Column:
-        before, after = _bounds(base, i)
-        return F.xxhash64(base, i, F.substring(line, F.lit(1), before), F.right(line, after))
-
-    return F.transform(F.sequence(F.lit(0), _blocks(base) - 1), key)
+def _block_keys(lines: DataFrame) -> DataFrame:
+    """Rows (h1, h2, shorter, i, key): hashes of each line without its block i; `shorter`: 1 to meet lines with one
+    character less. Each key is an expression of its own, so all of them are compiled."""
+    sized = lines.withColumn("size", F.length("line")).withColumn("m0", _blocks(F.col("size"))).withColumn("m1", _blocks(F.col("size") - 1))
+    keys = []
+    for shorter in (0, 1):
+        base, m = F.col("size") - shorter, F.col(f"m{shorter}")
+        for i in range(MOST_BLOCKS):
+            before, after = _bounds(base, F.lit(i), m)
+            rest = F.substring(F.col("line"), F.col("size") - after + 1, after)
+            keys.append(F.when(F.lit(i) < m, F.xxhash64(base, F.lit(i), F.substring(F.col("line"), F.lit(1), before), rest)))
+    emitted = sized.select("h1", "h2", F.posexplode(F.array(*keys)).alias("place", "key")).filter("key is not null")
+    return emitted.select("h1", "h2", F.floor(F.col("place") / MOST_BLOCKS).cast("int").alias("shorter"), F.pmod("place", F.lit(MOST_BLOCKS)).cast("int").alias("i"), "key")
 
 
 def near_lines(docs: DataFrame, distinct: DataFrame, min_chars: int) -> DataFrame:
     """(h1, h2) of distinct lines with an earlier line at edit distance one."""
-    emitted = distinct.select("h1", "h2", "first", F.explode(F.array(F.struct(F.lit(0).alias("shorter"), F.col("keys0").alias("keys")), F.struct(F.lit(1).alias("shorter"), F.col("keys1").alias("keys")))).alias("k"))
-    keyed = emitted.select("h1", "h2", "first", "k.shorter", F.posexplode("k.keys").alias("i", "key"))
+    lines = _lines(docs, min_chars)
+    keyed = _block_keys(lines.select("line", "h1", "h2")).repartition(partitions(docs.sparkSession), "key").distinct()
     shared = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1").drop("n")
-    texts = _lines(docs, min_chars).select(F.col("rid").alias("t_rid"), F.col("pos").alias("t_pos"), "line")
-    found = written(shared.join(texts.hint("merge"), (F.col("first.rid") == F.col("t_rid")) & (F.col("first.pos") == F.col("t_pos"))).drop("t_rid", "t_pos"), "lines")
+    placed = shared.join(distinct.select("h1", "h2", "first").hint("merge"), ["h1", "h2"])
+    texts = lines.select(F.col("rid").alias("t_rid"), F.col("pos").alias("t_pos"), "line")
+    found = written(placed.join(texts.hint("merge"), (F.col("first.rid") == F.col("t_rid")) & (F.col("first.pos") == F.col("t_pos"))).drop("t_rid", "t_pos"), "lines")
     base = F.length("line") - F.col("shorter")
-    before, after = _bounds(base, F.col("i"))
+    before, after = _bounds(base, F.col("i"), _blocks(base))
     with_block = found.withColumn("block", F.substring(F.col("line"), before + 1, F.length("line") - before - after)).drop("line")
     block = F.col("block")
     without = lambda p: F.concat(F.substring(block, F.lit(1), p - 1), F.substring(block, p + 1, F.length(block)))
@@ -87,7 +91,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """rid (of monotonically_increasing_id over `docs`) and the sorted 0-based numbers `removed` of its repeated lines."""
     lines = _lines(docs, min_chars)
     distinct = written(
-        lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "rid", "pos")).alias("first"), F.count(F.lit(1)).alias("n"), F.first(_block_keys(F.col("line"), 0)).alias("keys0"), F.first(_block_keys(F.col("line"), 1)).alias("keys1")), "distinct"
+        lines.select("h1", "h2", F.struct("doc_id", "rid", "pos").alias("at")).groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")), "distinct"
     )
     near = near_lines(docs, distinct, min_chars).withColumn("near", F.lit(True))
     judged = distinct.select("h1", "h2", "first", "n").join(near.hint("merge"), ["h1", "h2"], "left").filter("n > 1 or near").select("h1", "h2", F.col("first.rid").alias("f_rid"), F.col("first.pos").alias("f_pos"), F.coalesce("near", F.lit(False)).alias("near"))
