@@ -54,7 +54,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete written tables that nothing lazy reads any more."""
+    for t in tables:
+        if path := getattr(t, "scratch", None):
+            drop_path(t.sparkSession, path)
 
 
 def text_of(column: str = "text"):
@@ -64,3 +73,9 @@ def text_of(column: str = "text"):
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def stable(docs: DataFrame) -> DataFrame:
+    """`docs` itself where it is a plain scan, whose row ids are the same at every read; else a written copy."""
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    return written(docs, "rows") if any(x in plan for x in ("Exchange", "Sort", "Python", "Arrow", "ExistingRDD")) else docs

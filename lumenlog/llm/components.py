@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import release, written
 
 
 def connected_components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
@@ -24,7 +24,8 @@ def connected_components(edges: DataFrame, name: str = "components", most_rounds
         # Small star: of each node, its smaller neighbours and itself move to the least of them.
         first = large.groupBy("a").agg(F.min("b").alias("least"))
         small = large.join(first.hint("merge"), "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("least").alias("b")), F.struct(F.col("b").alias("a"), F.col("least").alias("b")))).alias("e")).select("e.*")
-        now = written(small.filter("a != b").distinct(), name)
+        old, now = now, written(small.filter("a != b").distinct(), name)
+        release(old)
         state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -12,18 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, table, text_of, written
+from .common import partitions, release, stable, table, text_of, written
 
 MIN_CHARS = 20
 BLOCK, MOST_BLOCKS = 256, 6
 
 
-def stable(docs: DataFrame) -> DataFrame:
-    """`docs` itself where it is a plain scan, whose row ids are the same at every read; else a written copy."""
-    plan = docs._jdf.queryExecution().executedPlan().toString()
-    return written(docs, "rows") if any(x in plan for x in ("Exchange", "Sort", "Python", "Arrow", "ExistingRDD")) else docs
-
-
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """rid, doc_id, pos, line and its 128-bit hash (h1, h2), for lines of at least `min_chars` characters."""
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
@@ -84,7 +78,9 @@ def near_lines(docs: DataFrame, distinct: DataFrame, min_chars: int) -> DataFram
         pairs.join(x, (F.col("partner.h1") == F.col("x1")) & (F.col("partner.h2") == F.col("x2"))).join(y, (F.col("own.h1") == F.col("y1")) & (F.col("own.h2") == F.col("y2")))
         .filter(F.levenshtein("x_line", "y_line", 1) == 1)
     )
-    return verified.select(F.col("own.h1").alias("h1"), F.col("own.h2").alias("h2")).distinct()
+    near = written(verified.select(F.col("own.h1").alias("h1"), F.col("own.h2").alias("h2")).distinct(), "near")
+    release(found)
+    return near
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:

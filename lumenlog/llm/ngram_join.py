@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, table, text_of, written
+from .common import partitions, release, table, stable, text_of, written
 from .components import connected_components
 
 WORDS, PERCENT = 4, 85
@@ -91,9 +91,6 @@ def _signature(grams: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63)
 
 
-_ROOT = {"doc_id": pa.int64(), "sig": pa.int64(), "n": pa.int32(), "gram": pa.int64(), "pos": pa.int32()}
-
-
 def _roots(levels, k: int, percent: int):
     """One row with a null gram per document; per new set of a task, a row for each gram of its prefix."""
 
@@ -101,23 +98,23 @@ def _roots(levels, k: int, percent: int):
         of = levels.value.astype(np.uint64)
         seen: set[int] = set()
         for batch in it:
-            ids, sigs, sizes, parts = [], [], [], []
-            for doc_id, cell in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            sigs, sizes, parts = [], [], []
+            for cell in batch.column("text"):
                 grams = _ordered(gram_hashes(cell.as_py(), k), of)
                 n = len(grams)
                 sig = _signature(grams)
-                ids.append(doc_id), sigs.append(sig), sizes.append(n)
+                sigs.append(sig), sizes.append(n)
                 if n and sig not in seen:
                     if len(seen) > 500_000:
                         seen.clear()
                     seen.add(sig)
                     prefix = grams[: n - least_overlap_of_one(n, percent) + 1]
                     parts.append((sig, n, prefix.view(np.int64)))
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "sig": pa.array(sigs, pa.int64()), "n": pa.array(sizes, pa.int32()), "gram": pa.nulls(len(ids), pa.int64()), "pos": pa.nulls(len(ids), pa.int32())})
+            yield pa.RecordBatch.from_pydict({"row": batch.column("row"), "doc_id": batch.column("doc_id"), "sig": pa.array(sigs, pa.int64()), "n": pa.array(sizes, pa.int32()), "gram": pa.nulls(len(sigs), pa.int64()), "pos": pa.nulls(len(sigs), pa.int32())})
             if parts:
                 lengths = np.array([len(p[2]) for p in parts])
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": pa.nulls(int(lengths.sum()), pa.int64()), "sig": np.repeat(np.array([p[0] for p in parts], np.int64), lengths), "n": np.repeat(np.array([p[1] for p in parts], np.int32), lengths),
+                    "row": pa.nulls(int(lengths.sum()), pa.int64()), "doc_id": pa.nulls(int(lengths.sum()), pa.int64()), "sig": np.repeat(np.array([p[0] for p in parts], np.int64), lengths), "n": np.repeat(np.array([p[1] for p in parts], np.int32), lengths),
                     "gram": np.concatenate([p[2] for p in parts]), "pos": np.concatenate([np.arange(x, dtype=np.int32) for x in lengths]),
                 })
 
@@ -318,7 +315,7 @@ class _Join:
         self.levels = self.spark.sparkContext.broadcast(levels)
 
     def roots(self) -> DataFrame:
-        return written(self.source.mapInArrow(_roots(self.levels, self.k, self.percent), "doc_id long, sig long, n int, gram long, pos int"), "roots")
+        return written(self.source.select("row", "doc_id", "text").mapInArrow(_roots(self.levels, self.k, self.percent), "row long, doc_id long, sig long, n int, gram long, pos int"), "roots")
 
     def met(self, roots: DataFrame) -> DataFrame:
         dealt = roots.filter("gram is not null").select("gram", "pos", "n", "sig").repartition(partitions(self.spark), "gram").sortWithinPartitions("gram", "pos", "n", "sig")
@@ -333,23 +330,27 @@ class _Join:
         stored = salted.join(sets.hint("merge"), F.col("b") == F.col("sig")).select("a", "salt", "b", "grams")
         probes = salted.select("a", "salt").distinct().join(sets.hint("merge"), F.col("a") == F.col("sig")).select("a", "salt", F.lit(None).cast("long").alias("b"), "grams")
         dealt = stored.unionAll(probes).repartition(partitions(self.spark), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-        return written(dealt.mapInArrow(_verified(self.percent), "a long, b long"), "links")
+        links = written(dealt.mapInArrow(_verified(self.percent), "a long, b long"), "links")
+        release(wanted, sets)
+        return links
 
 
 def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id for every row of `docs` (doc_id long, text string; others are ignored).
+    """doc_id, n_shingles, component_id, class_id, row, first for every row of `docs` (doc_id long, text string; others are ignored).
 
     Rows are linked when 100 * common grams >= percent * grams of either. component_id is the least doc_id reachable by
-    links; class_id the least doc_id with the same set. A null text counts as empty; rows without words have no grams
+    links; class_id the least doc_id with the same set; row is the row's monotonically_increasing_id, and first marks
+    one row of each component: that of the least doc_id, of equal ones the first row, a null id last. A null text counts as empty; rows without words have no grams
     and are linked with nothing. Rows with a null id keep their own row, and take part in links; an id comes from the
     rows that have one, and is null where none has. Repeated rows are equal sets. Texts are taken whole. An empty table
     gives an empty result.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     join = _Join(source, words, percent)
     roots = join.roots()
-    classes = roots.filter("gram is null").select("doc_id", "sig", "n")
+    classes = written(roots.filter("gram is null").select("row", "doc_id", "sig", "n"), "classes")
     met = join.met(roots)
+    release(roots)
     by_pair = met.filter("b is not null").select("a", "b", "star")
     # Of the pairs with the first of a longer run, each class takes the one with the class that leads most runs' starts.
     stars = by_pair.filter("star").groupBy("b", "a").agg(F.count(F.lit(1)).alias("n")).groupBy("b").agg(F.max(F.struct("n", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
@@ -370,15 +371,25 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     if not rest.isEmpty():
         links = links.unionAll(join.verify(rest))
         parts = connected_components(links)
-    least = classes.groupBy("sig").agg(F.min("doc_id").alias("class_id"))
-    placed = written(least.join(parts.hint("merge"), F.col("sig") == F.col("node"), "left").select("sig", "class_id", F.coalesce("root", "sig").alias("part")), "classes")
-    named = placed.join(placed.groupBy("part").agg(F.min("class_id").alias("component_id")).hint("merge"), "part").drop("part")
+    at = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    least = classes.groupBy("sig").agg(F.min(at).alias("least"))
+    placed = written(least.join(parts.hint("merge"), F.col("sig") == F.col("node"), "left").select("sig", "least", F.coalesce("root", "sig").alias("part")), "parts")
+    release(met, first, rest, open_rows)
+    named = placed.join(placed.groupBy("part").agg(F.min("least").alias("top")).hint("merge"), "part").drop("part")
     rows = classes.withColumnRenamed("sig", "own").join(named.hint("merge"), F.col("own") == F.col("sig"))
     alone = F.col("n") == 0
     return rows.select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")
-    )
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("top.doc_id")).alias("component_id"), F.when(alone, F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("class_id"),
+        "row", (alone | (F.col("top.row") == F.col("row"))).alias("first"),
+    )
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs`, one of each component; rows without words all stay."""
+    docs = stable(docs)
+    kept = ngram_components(docs, words, percent).filter("first").select(F.col("row").alias("__kept"))
+    return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept.hint("merge"), F.col("__row") == F.col("__kept"), "left_semi").drop("__row")
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_components(table(spark, sf_dir, "documents"))
+    return ngram_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")

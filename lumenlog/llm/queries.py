@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op4_decontamination
 from .line_dedup import op8_line_dedup
 from .ngram_join import op5_ngram_join
 from .packing import op1_packing
@@ -17,6 +18,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_quality_rules": op2_quality_rules,
     "op3_token_counts": op3_token_counts,
+    "op4_decontamination": op4_decontamination,
     "op5_ngram_join": op5_ngram_join,
     "op6_warc": op6_warc,
     "op7_secret_scan": op7_secret_scan,
