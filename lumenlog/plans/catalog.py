@@ -15,7 +15,7 @@ class Query:
     sql: str | None = None
 
 
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("retrieval", "reading")
 
 
 def catalog() -> dict[str, Query]:
