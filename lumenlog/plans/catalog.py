@@ -15,7 +15,7 @@ class Query:
     sql: str | None = None
 
 
-MODULES: tuple[str, ...] = ("retrieval", "reading")
+MODULES: tuple[str, ...] = ("retrieval", "reading", "statistics", "ingestion")
 
 
 def catalog() -> dict[str, Query]:
