@@ -8,12 +8,13 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Fixed value: keys of a payload that make its identity.
 CONTENT_KEYS = ("content", "text", "thinking", "output", "error", "content_blocks", "input", "data", "files", "summarizes", "model")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def content_hash(payload: pd.Series) -> pd.Series:
     """First 16 hexadecimal digits of the SHA-256 of a payload's content keys as JSON with sorted keys; null if it isn't an object."""
 

@@ -15,7 +15,7 @@ class Query:
     sql: str | None = None
 
 
-MODULES: tuple[str, ...] = ("retrieval", "reading", "statistics", "ingestion")
+MODULES: tuple[str, ...] = ("retrieval", "reading", "statistics", "ingestion", "analysis")
 
 
 def catalog() -> dict[str, Query]:
