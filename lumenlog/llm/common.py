@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -79,3 +80,15 @@ def stable(docs: DataFrame) -> DataFrame:
     """`docs` itself where it is a plain scan, whose row ids are the same at every read; else a written copy."""
     plan = docs._jdf.queryExecution().executedPlan().toString()
     return written(docs, "rows") if any(x in plan for x in ("Exchange", "Sort", "Python", "Arrow", "ExistingRDD")) else docs
+
+
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, rows: int):
+    """Within it, Python workers get at most `rows` rows at a time, for actions that run inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)

@@ -19,11 +19,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, release, table, stable, text_of, written
+from .common import arrow_batches, partitions, release, table, stable, text_of, written
 from .components import connected_components
 
 WORDS, PERCENT = 4, 85
-SKETCH_BITS, CHUNKS = 20, 64
+SKETCH_BITS, CHUNKS = 22, 64
+BATCH = 2000
 SMALL_RUN = 4
 TRIE_SETS = 256
 _CHUNK = (1 << SKETCH_BITS) // CHUNKS
@@ -84,7 +85,7 @@ def sketch(rows: DataFrame, values_of) -> np.ndarray:
 
 def _ordered(hashes: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """Grams as numbers whose order is the global one: the level of the gram's bucket, then its hash."""
-    return np.sort(levels[(hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] << np.uint64(56) | hashes & _HASH)
+    return np.sort(levels[(hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | hashes & _HASH)
 
 
 def _signature(grams: np.ndarray) -> int:
@@ -95,7 +96,7 @@ def _roots(levels, k: int, percent: int):
     """One row with a null gram per document; per new set of a task, a row for each gram of its prefix."""
 
     def run(it: Iterator[pa.RecordBatch]):
-        of = levels.value.astype(np.uint64)
+        of = levels.value
         seen: set[int] = set()
         for batch in it:
             sigs, sizes, parts = [], [], []
@@ -283,7 +284,7 @@ def _sets(levels, wanted, k: int):
     """The whole sets of documents whose class may be among the wanted ones (a bucket filter of fixed size)."""
 
     def run(it: Iterator[pa.RecordBatch]):
-        of, hits = levels.value.astype(np.uint64), wanted.value
+        of, hits = levels.value, wanted.value
         seen: set[int] = set()
         for batch in it:
             rows = []
@@ -310,12 +311,14 @@ class _Join:
     def __init__(self, source: DataFrame, k: int, percent: int):
         self.source, self.k, self.percent = source, k, percent
         self.spark: SparkSession = source.sparkSession
-        counts = sketch(source.select("text"), lambda batch: (gram_hashes(c.as_py(), k) for c in batch.column("text")))
+        with arrow_batches(self.spark, BATCH):
+            counts = sketch(source.select("text"), lambda batch: (gram_hashes(c.as_py(), k) for c in batch.column("text")))
         levels = np.minimum(255, 8 * np.log2(np.maximum(counts, 1))).astype(np.uint8)
         self.levels = self.spark.sparkContext.broadcast(levels)
 
     def roots(self) -> DataFrame:
-        return written(self.source.select("row", "doc_id", "text").mapInArrow(_roots(self.levels, self.k, self.percent), "row long, doc_id long, sig long, n int, gram long, pos int"), "roots")
+        with arrow_batches(self.spark, BATCH):
+            return written(self.source.select("row", "doc_id", "text").mapInArrow(_roots(self.levels, self.k, self.percent), "row long, doc_id long, sig long, n int, gram long, pos int"), "roots")
 
     def met(self, roots: DataFrame) -> DataFrame:
         dealt = roots.filter("gram is not null").select("gram", "pos", "n", "sig").repartition(partitions(self.spark), "gram").sortWithinPartitions("gram", "pos", "n", "sig")
@@ -323,15 +326,16 @@ class _Join:
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """Those of the distinct pairs (a, b) that are linked."""
-        wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "wanted")
-        hits = self.spark.sparkContext.broadcast(sketch(wanted, _sig_values) > 0)
-        sets = written(self.source.select("text").mapInArrow(_sets(self.levels, hits, self.k), "sig long, grams binary").dropDuplicates(["sig"]), "sets")
-        salted = pairs.withColumn("salt", F.pmod(F.hash("b"), F.lit(64)))
-        stored = salted.join(sets.hint("merge"), F.col("b") == F.col("sig")).select("a", "salt", "b", "grams")
-        probes = salted.select("a", "salt").distinct().join(sets.hint("merge"), F.col("a") == F.col("sig")).select("a", "salt", F.lit(None).cast("long").alias("b"), "grams")
-        dealt = stored.unionAll(probes).repartition(partitions(self.spark), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-        links = written(dealt.mapInArrow(_verified(self.percent), "a long, b long"), "links")
-        release(wanted, sets)
+        spread = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TRIE_SETS).cast("int").alias("salts"))
+        salted = written(pairs.join(spread.hint("merge"), "a").select("a", F.pmod(F.hash("b"), F.col("salts")).alias("salt"), "b"), "wanted")
+        wanted = salted.select("a", "salt", "b", F.col("b").alias("sig")).unionAll(salted.select("a", "salt").distinct().select("a", "salt", F.lit(None).cast("long").alias("b"), F.col("a").alias("sig")))
+        with arrow_batches(self.spark, BATCH):
+            hits = self.spark.sparkContext.broadcast(sketch(wanted.select("sig"), _sig_values) > 0)
+            # Sets are dealt out by class once, for dropping repeats and for the join.
+            sets = self.source.select("text").mapInArrow(_sets(self.levels, hits, self.k), "sig long, grams binary").dropDuplicates(["sig"])
+            dealt = wanted.join(sets.hint("merge"), "sig").select("a", "salt", "b", "grams").repartition(partitions(self.spark), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+            links = written(dealt.mapInArrow(_verified(self.percent), "a long, b long"), "links")
+        release(salted)
         return links
 
 
