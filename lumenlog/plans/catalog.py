@@ -15,7 +15,7 @@ class Query:
     sql: str | None = None
 
 
-MODULES: tuple[str, ...] = ("retrieval", "reading", "statistics", "ingestion", "analysis")
+MODULES: tuple[str, ...] = ("retrieval", "reading", "statistics", "ingestion", "analysis", "reports")
 
 
 def catalog() -> dict[str, Query]:
