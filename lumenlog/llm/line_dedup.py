@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import partitions, release, stable, table, text_of, written
 
 MIN_CHARS = 20
-BLOCK, MOST_BLOCKS = 256, 6
+BLOCK, MOST_BLOCKS = 256, 64
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -36,17 +36,24 @@ def _bounds(base: Column, i: Column, m: Column) -> tuple[Column, Column]:
 
 def _block_keys(lines: DataFrame) -> DataFrame:
     """Rows (h1, h2, shorter, i, key): hashes of each line without its block i; `shorter`: 1 to meet lines with one
-    character less. Each key is an expression of its own, so all of them are compiled."""
-    sized = lines.withColumn("size", F.length("line")).withColumn("m0", _blocks(F.col("size"))).withColumn("m1", _blocks(F.col("size") - 1))
-    keys = []
-    for shorter in (0, 1):
-        base, m = F.col("size") - shorter, F.col(f"m{shorter}")
-        for i in range(MOST_BLOCKS):
-            before, after = _bounds(base, F.lit(i), m)
-            rest = F.substring(F.col("line"), F.col("size") - after + 1, after)
-            keys.append(F.when(F.lit(i) < m, F.xxhash64(base, F.lit(i), F.substring(F.col("line"), F.lit(1), before), rest)))
-    emitted = sized.select("h1", "h2", F.posexplode(F.array(*keys)).alias("place", "key")).filter("key is not null")
-    return emitted.select("h1", "h2", F.floor(F.col("place") / MOST_BLOCKS).cast("int").alias("shorter"), F.pmod("place", F.lit(MOST_BLOCKS)).cast("int").alias("i"), "key")
+    character less. Lines of two blocks, which are most, have expressions of their own, which are compiled."""
+    line, size = F.col("line"), F.col("size")
+
+    def key(shorter: int, i: Column, before: Column, after: Column) -> Column:
+        hashed = F.xxhash64(size - shorter, i, F.substring(line, F.lit(1), before), F.substring(line, size - after + 1, after))
+        return F.struct(F.lit(shorter).alias("shorter"), i.alias("i"), hashed.alias("key"))
+
+    def halves(shorter: int) -> list[Column]:
+        half = F.floor((size - shorter) / 2).cast("int")
+        return [key(shorter, F.lit(0), F.lit(0), size - shorter - half), key(shorter, F.lit(1), half, F.lit(0))]
+
+    def blocks(shorter: int) -> Column:
+        base, m = size - shorter, F.col(f"m{shorter}")
+        return F.transform(F.sequence(F.lit(0), m - 1), lambda i: key(shorter, i, *_bounds(base, i, m)))
+
+    sized = lines.withColumn("size", F.length("line")).withColumn("m0", _blocks(size)).withColumn("m1", _blocks(size - 1))
+    keys = F.when(size <= 2 * BLOCK, F.array(*halves(0), *halves(1))).otherwise(F.concat(blocks(0), blocks(1)))
+    return sized.select("h1", "h2", F.explode(keys).alias("k")).select("h1", "h2", "k.*")
 
 
 def near_lines(docs: DataFrame, distinct: DataFrame, min_chars: int) -> DataFrame:
