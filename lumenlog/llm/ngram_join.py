@@ -51,6 +51,22 @@ def least_overlap(n: int, m: int, percent: int) -> int:
     return -(-percent * (n + m) // (100 + percent))
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts of a chunk: a small task's as places and counts, others compressed; none as nothing."""
+    used = np.flatnonzero(counts)
+    if 4 * len(used) > len(counts):
+        return b"D" + zlib.compress(counts.tobytes(), 1)
+    return b"S" + used.astype("<u4").tobytes() + counts[used].astype("<u4").tobytes() if len(used) else b""
+
+
+def _unpacked(packed: bytes) -> tuple[np.ndarray | slice, np.ndarray]:
+    """Places and counts of a chunk."""
+    if packed[:1] == b"D":
+        return slice(None), np.frombuffer(zlib.decompress(packed[1:]), "<u4")
+    both = np.frombuffer(packed[1:], "<u4")
+    return both[: len(both) // 2], both[len(both) // 2 :]
+
+
 def _sketched(values_of):
     """Partial sketch: how many values of a partition fall in each bucket, as packed chunks."""
 
@@ -59,7 +75,7 @@ def _sketched(values_of):
         for batch in it:
             for values in values_of(batch):
                 np.add.at(counts, (values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-        rows = [(i, zlib.compress(counts[i * _CHUNK : (i + 1) * _CHUNK].tobytes(), 1)) for i in range(CHUNKS) if counts[i * _CHUNK : (i + 1) * _CHUNK].any()]
+        rows = [(i, packed) for i in range(CHUNKS) if (packed := _packed(counts[i * _CHUNK : (i + 1) * _CHUNK]))]
         yield pa.RecordBatch.from_pydict({"chunk": pa.array([r[0] for r in rows], pa.int32()), "counts": pa.array([r[1] for r in rows], pa.binary())})
 
     return run
@@ -69,8 +85,8 @@ def _summed(it: Iterator[pa.RecordBatch]):
     sums: dict[int, np.ndarray] = {}
     for batch in it:
         for chunk, packed in zip(batch.column("chunk").to_pylist(), batch.column("counts")):
-            part = np.frombuffer(zlib.decompress(packed.as_py()), np.uint32)
-            sums[chunk] = sums.get(chunk, 0) + part.astype(np.int64)
+            places, counts = _unpacked(packed.as_py())
+            sums.setdefault(chunk, np.zeros(_CHUNK, np.int64))[places] += counts
     yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(sums), pa.int32()), "counts": pa.array([s.astype("<i8").tobytes() for s in sums.values()], pa.binary())})
 
 
