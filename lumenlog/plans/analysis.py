@@ -101,14 +101,25 @@ def thread_files(spark, d):
     return t.select("thread_id", F.array_join(F.transform("ops", lambda s: F.concat_ws(":", s["op"], s["n"].cast("string"))), ",").alias("ops"), "touches")
 
 
+def _commit_share(lineitem, orders):
+    f = lineitem.select((F.col("l_orderkey") % 200).alias("commit_id"), (F.col("l_partkey") % 50).alias("path")).distinct()
+    t = orders.select((F.col("o_custkey") % 20).alias("thread_id"), (F.col("o_orderkey") % 50).alias("path")).distinct()
+    n = f.groupBy("commit_id").agg(F.count(F.lit(1)).alias("n"))
+    return f.join(t, "path").groupBy("commit_id", "thread_id").agg(F.count(F.lit(1)).alias("matched")).join(n, "commit_id").select("commit_id", "thread_id", "matched", F.round(F.col("matched") / F.col("n"), 3).alias("share"))
+
+
 @query("""
 with f as (select distinct l_orderkey % 200 as commit_id, l_partkey % 50 as path from lineitem where l_orderkey < 400), t as (select distinct o_custkey % 20 as thread_id, o_orderkey % 50 as path from orders where o_orderkey < 300), n as (select commit_id, count(*) as n from f group by 1)
 select f.commit_id, t.thread_id, count(*)::bigint as matched, round(count(*)::double / max(n.n), 3) as share from f join t on f.path = t.path join n on n.commit_id = f.commit_id group by 1, 2""")
 def commit_share(spark, d):
-    f = table(spark, d, "lineitem").filter("l_orderkey < 400").select((F.col("l_orderkey") % 200).alias("commit_id"), (F.col("l_partkey") % 50).alias("path")).distinct()
-    t = table(spark, d, "orders").filter("o_orderkey < 300").select((F.col("o_custkey") % 20).alias("thread_id"), (F.col("o_orderkey") % 50).alias("path")).distinct()
-    n = f.groupBy("commit_id").agg(F.count(F.lit(1)).alias("n"))
-    return f.join(t, "path").groupBy("commit_id", "thread_id").agg(F.count(F.lit(1)).alias("matched")).join(n, "commit_id").select("commit_id", "thread_id", "matched", F.round(F.col("matched") / F.col("n"), 3).alias("share"))
+    return _commit_share(table(spark, d, "lineitem").filter("l_orderkey < 400"), table(spark, d, "orders").filter("o_orderkey < 300"))
+
+
+@query("""
+with f as (select distinct l_orderkey % 200 as commit_id, l_partkey % 50 as path from lineitem), t as (select distinct o_custkey % 20 as thread_id, o_orderkey % 50 as path from orders), n as (select commit_id, count(*) as n from f group by 1)
+select f.commit_id, t.thread_id, count(*)::bigint as matched, round(count(*)::double / max(n.n), 3) as share from f join t on f.path = t.path join n on n.commit_id = f.commit_id group by 1, 2""")
+def commit_share_whole(spark, d):
+    return _commit_share(table(spark, d, "lineitem"), table(spark, d, "orders"))
 
 
 @query("select o_custkey % 40 as thread_id, o_orderpriority as ref, min(o_orderdate) as first_at, max(o_orderdate) as last_at, max(o_orderkey) as last_event from orders where o_orderstatus = 'F' group by 1, 2")
@@ -128,14 +139,25 @@ def interval_window(spark, d):
     return provenance.in_windows(t, c, "path", "at").groupBy("commit_id").agg(F.count(F.lit(1)).alias("touches"))
 
 
+def _join_prefix(customer, orders):
+    sha = lambda c: F.sha2(F.col(c).cast("string").cast("binary"), 256)
+    a = customer.select("c_custkey", sha("c_custkey").alias("full_sha"))
+    b = orders.select("o_orderkey", F.substring(sha("o_custkey"), 1, 7).alias("short"))
+    return provenance.prefix_either_way(a, b, "full_sha", "short").select("c_custkey", "o_orderkey")
+
+
 @query("""
 with a as (select c_custkey, sha256(c_custkey::varchar) as full_sha from customer), b as (select o_orderkey, substr(sha256((o_custkey)::varchar), 1, 7) as short from orders where o_orderkey < 200)
 select a.c_custkey, b.o_orderkey from a join b on starts_with(a.full_sha, b.short)""")
 def join_prefix(spark, d):
-    sha = lambda c: F.sha2(F.col(c).cast("string").cast("binary"), 256)
-    a = table(spark, d, "customer").select("c_custkey", sha("c_custkey").alias("full_sha"))
-    b = table(spark, d, "orders").filter("o_orderkey < 200").select("o_orderkey", F.substring(sha("o_custkey"), 1, 7).alias("short"))
-    return provenance.prefix_either_way(a, b, "full_sha", "short").select("c_custkey", "o_orderkey")
+    return _join_prefix(table(spark, d, "customer"), table(spark, d, "orders").filter("o_orderkey < 200"))
+
+
+@query("""
+with a as (select c_custkey, sha256(c_custkey::varchar) as full_sha from customer), b as (select o_orderkey, substr(sha256((o_custkey)::varchar), 1, 7) as short from orders)
+select a.c_custkey, b.o_orderkey from a join b on starts_with(a.full_sha, b.short)""")
+def join_prefix_whole(spark, d):
+    return _join_prefix(table(spark, d, "customer"), table(spark, d, "orders"))
 
 
 @query("select doc_id, regexp_extract(text, '(License|Licence)[, ]+[Vv]ersion ([0-9.]+)', 2) as version from documents where regexp_matches(text, '(License|Licence)[, ]+[Vv]ersion [0-9.]+')")
@@ -154,8 +176,17 @@ def link_fold(spark, d):
 
 @query("select c.c_nationkey as topic, o.o_custkey as member, count(*)::bigint as citations from orders o join customer c on c.c_custkey = o.o_custkey where c.c_nationkey < 5 group by all")
 def topic_members(spark, d):
-    c = table(spark, d, "customer").filter("c_nationkey < 5").select(F.col("c_custkey").alias("member"), F.col("c_nationkey").alias("topic"))
-    return table(spark, d, "orders").select(F.col("o_custkey").alias("member")).groupBy("member").agg(F.count(F.lit(1)).alias("citations")).join(c, "member").select("topic", "member", "citations")
+    return _topic_members(table(spark, d, "customer").filter("c_nationkey < 5"), table(spark, d, "orders"))
+
+
+@query("select c.c_nationkey as topic, o.o_custkey as member, count(*)::bigint as citations from orders o join customer c on c.c_custkey = o.o_custkey group by all")
+def topic_members_whole(spark, d):
+    return _topic_members(table(spark, d, "customer"), table(spark, d, "orders"))
+
+
+def _topic_members(customer, orders):
+    c = customer.select(F.col("c_custkey").alias("member"), F.col("c_nationkey").alias("topic"))
+    return orders.select(F.col("o_custkey").alias("member")).groupBy("member").agg(F.count(F.lit(1)).alias("citations")).join(c, "member").select("topic", "member", "citations")
 
 
 @query("""

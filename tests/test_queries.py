@@ -45,3 +45,8 @@ def test_communities_split_clusters(spark):
     vectors = [(i, [1.0, 0.01 * i, 0.0] if i < 10 else [0.0, 0.01 * i, 1.0]) for i in range(20)]
     found = {r.node: r.community for r in communities(knn_edges(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), 4, 0.55, block=7)).collect()}
     assert len(set(found.values())) == 2 and len({found[i] for i in range(10)}) == 1 and len({found[i] for i in range(10, 20)}) == 1
+
+
+@pytest.mark.parametrize("name", ["commit_share", "join_prefix", "topic_members"])
+def test_whole_tables_give_more_than_subsets(spark, small, name):
+    assert catalog()[name + "_whole"].build(spark, small).count() > catalog()[name].build(spark, small).count()
