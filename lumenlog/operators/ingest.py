@@ -38,13 +38,20 @@ def torn_lines(bad: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def roots_of(edges: DataFrame, child: str, parent: str) -> DataFrame:
-    """(child, root, depth) along parent links, by a recursive query; a link back into the path ends it."""
+    """(child, root, depth) along parent links, one join a level; a link back into the path ends it. Each level is
+    written to the folder of `spark.checkpoint.dir`, so neither its rows nor the number of levels has a bound."""
     spark = edges.sparkSession
-    view = f"links_{abs(hash((child, parent))) % 10**8}"
-    edges.select(F.col(child).alias("c"), F.col(parent).alias("p")).createOrReplaceTempView(view)
-    return spark.sql(f"""
-      with recursive up(c, p, depth, path) as (
-        select c, p, 0, array(c) from {view}
-        union all
-        select up.c, l.p, up.depth + 1, array_append(up.path, up.p) from up join {view} l on up.p = l.c where not array_contains(up.path, up.p))
-      select c as {child}, max_by(coalesce(p, element_at(path, -1)), depth) as root, max(depth) as depth from up group by c""")
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lumenlog-"))
+    links = edges.select(F.col(child).alias("l"), F.col(parent).alias("next")).checkpoint()
+    level = links.select(F.col("l").alias("c"), F.col("next").alias("p"), F.array("l").alias("path"))
+    found = []
+    while not level.isEmpty():
+        found.append(level.select("c", F.coalesce("p", F.element_at("path", -1)).alias("root"), F.lit(len(found)).alias("depth")))
+        open_ones = level.filter(F.col("p").isNotNull() & ~F.array_contains("path", F.col("p")))
+        level = open_ones.join(links, F.col("p") == F.col("l")).select("c", F.col("next").alias("p"), F.array_append("path", F.col("p")).alias("path")).checkpoint()
+    if not found:
+        return level.select(F.col("c").alias(child), F.col("p").alias("root"), F.lit(0).alias("depth"))
+    return reduce(DataFrame.unionAll, found).groupBy(F.col("c").alias(child)).agg(F.max_by("root", "depth").alias("root"), F.max("depth").alias("depth"))

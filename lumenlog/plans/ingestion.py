@@ -53,7 +53,19 @@ with recursive l as (select event_id as c, case when event_id % 8 = 0 then null
  up as (select c, p, c as root, 0 as depth from l union all select up.c, l.p, l.c, up.depth + 1 from up join l on up.p = l.c)
 select c as event_id, arg_max(coalesce(p, root), depth) as root, max(depth)::int as depth from up group by c""")
 def active_path(spark, d):
-    e = table(spark, d, "events").filter("event_id < 400").select("event_id", F.when(F.col("event_id") % 8 != 0, F.col("event_id") - 1 - F.col("event_id") % 3).alias("parent_id"))
+    return _active_path(table(spark, d, "events").filter("event_id < 400"))
+
+
+@query("""
+with recursive l as (select event_id as c, case when event_id % 8 = 0 then null else event_id - 1 - event_id % 3 end as p from events),
+ up as (select c, p, c as root, 0 as depth from l union all select up.c, l.p, l.c, up.depth + 1 from up join l on up.p = l.c)
+select c as event_id, arg_max(coalesce(p, root), depth) as root, max(depth)::int as depth from up group by c""")
+def active_path_whole(spark, d):
+    return _active_path(table(spark, d, "events"))
+
+
+def _active_path(events):
+    e = events.select("event_id", F.when(F.col("event_id") % 8 != 0, F.col("event_id") - 1 - F.col("event_id") % 3).alias("parent_id"))
     return ingest.roots_of(e, "event_id", "parent_id")
 
 
@@ -70,7 +82,16 @@ def last_wins(spark, d):
 @query("""
 select user_id, count(*)::bigint as raw, count(distinct event_id)::bigint as ids, count(distinct coalesce(case when event_type <> 'view' then event_type || floor(value)::bigint end, event_id::varchar))::bigint as effective from events where event_id <= 900 group by user_id""")
 def scan_counts_effective(spark, d):
-    e = table(spark, d, "events").filter("event_id <= 900")
+    return _scan_counts_effective(table(spark, d, "events").filter("event_id <= 900"))
+
+
+@query("""
+select user_id, count(*)::bigint as raw, count(distinct event_id)::bigint as ids, count(distinct coalesce(case when event_type <> 'view' then event_type || floor(value)::bigint end, event_id::varchar))::bigint as effective from events group by user_id""")
+def scan_counts_effective_whole(spark, d):
+    return _scan_counts_effective(table(spark, d, "events"))
+
+
+def _scan_counts_effective(e):
     key = F.coalesce(F.when(F.col("event_type") != "view", F.concat("event_type", F.floor("value").cast("string"))), F.col("event_id").cast("string"))
     return e.groupBy("user_id").agg(F.count(F.lit(1)).alias("raw"), F.count_distinct("event_id").alias("ids"), F.count_distinct(key).alias("effective"))
 
@@ -86,8 +107,19 @@ def blob_extract(spark, d):
 with t(i, s) as (values (0, '2024-03-01T10:00:00Z'), (1, '1709287200'), (2, '1709287200123'), (3, 'nonsense'), (4, '2024-03-01 10:00:00'))
 select i + event_id as id, case when i = 3 then null when i = 2 then timestamp '2024-03-01 10:00:00.123' else timestamp '2024-03-01 10:00:00' end as at from t, (select event_id * 10 as event_id from events where event_id < 20)""")
 def parse_ts(spark, d):
+    return _parse_ts(table(spark, d, "events").filter("event_id < 20"))
+
+
+@query("""
+with t(i, s) as (values (0, '2024-03-01T10:00:00Z'), (1, '1709287200'), (2, '1709287200123'), (3, 'nonsense'), (4, '2024-03-01 10:00:00'))
+select i + event_id as id, case when i = 3 then null when i = 2 then timestamp '2024-03-01 10:00:00.123' else timestamp '2024-03-01 10:00:00' end as at from t, (select event_id * 10 as event_id from events)""")
+def parse_ts_whole(spark, d):
+    return _parse_ts(table(spark, d, "events"))
+
+
+def _parse_ts(events):
     kinds = F.array(*[F.lit(x) for x in ("2024-03-01T10:00:00Z", "1709287200", "1709287200123", "nonsense", "2024-03-01 10:00:00")])
-    e = table(spark, d, "events").filter("event_id < 20").select((F.col("event_id") * 10).alias("event_id"), F.posexplode(kinds).alias("i", "s"))
+    e = events.select((F.col("event_id") * 10).alias("event_id"), F.posexplode(kinds).alias("i", "s"))
     return e.select((F.col("i") + F.col("event_id")).alias("id"), ids.parsed_timestamp(F.col("s")).cast("timestamp_ntz").alias("at"))
 
 

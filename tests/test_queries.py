@@ -50,3 +50,23 @@ def test_communities_split_clusters(spark):
 @pytest.mark.parametrize("name", ["commit_share", "join_prefix", "topic_members"])
 def test_whole_tables_give_more_than_subsets(spark, small, name):
     assert catalog()[name + "_whole"].build(spark, small).count() > catalog()[name].build(spark, small).count()
+
+
+@pytest.mark.parametrize("name", ["active_path", "scan_counts_effective", "parse_ts"])
+def test_whole_events_give_more_than_prefixes(spark, small, name):
+    part, whole = (catalog()[n].build(spark, small) for n in (name, name + "_whole"))
+    if name == "scan_counts_effective":
+        part, whole = part.select("raw").groupBy().sum(), whole.select("raw").groupBy().sum()
+        assert whole.first()[0] > part.first()[0]
+    else:
+        assert whole.count() > part.count()
+
+
+def test_roots_of_a_deep_chain_and_a_cycle(spark):
+    """The recursive query stopped at 100 levels."""
+    from lumenlog.operators.ingest import roots_of
+
+    links = [(i, i - 1 if i else None) for i in range(105)] + [(1000, 1001), (1001, 1002), (1002, 1001), (2000, 1999)]
+    got = {r.c: (r.root, r.depth) for r in roots_of(spark.createDataFrame(links, "c long, p long"), "c", "p").collect()}
+    assert got == {i: (0, i) for i in range(105)} | {1000: (1001, 2), 1001: (1001, 1), 1002: (1002, 1), 2000: (1999, 0)}
+    assert roots_of(spark.createDataFrame([], "c long, p long"), "c", "p").collect() == []
