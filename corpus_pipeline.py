@@ -37,7 +37,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents left, in sequences of 2048 tokens."""
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False, added_tokens=True)
 
 
 STAGES = [("quality_classifier", classify), ("line_dedup", dedup_lines), ("ngram_join", dedup_documents), ("decontamination", decontaminate), ("packing", packed)]

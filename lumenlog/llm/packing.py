@@ -53,14 +53,17 @@ class TextTokenizer:
     """The ids of a byte-level BPE tokenizer file, computed word by word.
 
     A single space between two non-space characters always begins a pre-token, so the ids of a text are those of its
-    words, each with its space. Texts with other runs of spaces are encoded whole.
+    words, each with its space. Texts with other runs of spaces are encoded whole. Where they count, the file's added
+    tokens are cut out of the text first, and what is between them is encoded piece by piece, as the library does.
     """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
-        special = {t["content"] for t in spec.get("added_tokens", ())}
+        special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
+        if any(t.get(flag) for t in spec.get("added_tokens", ()) for flag in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens look at what is around them")
         joined = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in merges]
         if joined != sorted(joined):
             raise ValueError("token ids don't follow the order of merges")
@@ -72,6 +75,8 @@ class TextTokenizer:
         ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if token not in special}
         self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.words = _Words(self.encode)
+        self.added = {text: np.array([i], "<u4").tobytes() for text, i in special.items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
     @classmethod
     def load(cls, path: str) -> TextTokenizer:
@@ -80,8 +85,15 @@ class TextTokenizer:
                 _tokenizers[path] = cls(path)
             return _tokenizers[path]
 
-    def ids(self, text: str) -> Iterator[bytes]:
-        """Blocks of ids of a whole text."""
+    def ids(self, text: str, added_tokens: bool = False) -> Iterator[bytes]:
+        """Blocks of ids of a whole text; added tokens in it have ids of their own, or count as ordinary text."""
+        if added_tokens and self.cut:
+            for i, part in enumerate(self.cut.split(text)):
+                if i % 2:
+                    yield self.added[part]
+                else:
+                    yield from self.ids(part)
+            return
         if not text:
             return
         if _NOT_PLAIN.search(text):
@@ -154,7 +166,7 @@ def _key(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series(curve_keys(batch), dtype="int64")
 
 
-def _packing(path: str, length: int, with_ids: bool):
+def _packing(path: str, length: int, with_ids: bool, added_tokens: bool):
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def emitted(pieces):
@@ -172,7 +184,7 @@ def _packing(path: str, length: int, with_ids: bool):
         ready, open_pieces = [], []
         for batch in it:
             for doc_id, cell in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = memoryview(b"".join([*tokenizer.ids(cell.as_py()), end]))
+                ids = memoryview(b"".join([*tokenizer.ids(cell.as_py(), added_tokens), end]))
                 total, start = len(ids) // 4, 0
                 while start < total:
                     take = min(length - fill, total - start)
@@ -199,13 +211,15 @@ def _packing(path: str, length: int, with_ids: bool):
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, length: int = SEQUENCE, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, length: int = SEQUENCE, with_ids: bool = True, added_tokens: bool = False) -> DataFrame:
     """Pieces of all rows of `docs` (doc_id long, text string; other columns are ignored) in sequences of `length` tokens.
 
     A row's ids are its text's, then END_ID; a null text counts as empty and gives the one id. Rows with a null or
     repeated doc_id are packed like others, equal rows one after the other. Texts are taken whole. Equal keys are dealt
     out by doc_id and a hash of the row, so a large group of copies is spread over partitions. An empty table gives an
-    empty result. With `with_ids`, each piece also carries its ids.
+    empty result. With `with_ids`, each piece also carries its ids. With `added_tokens`, the file's added tokens in a
+    text have their own ids, as with the library's defaults; without, they count as ordinary text (its
+    encode_special_tokens).
     """
     key = F.pandas_udf(_key, "long")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
@@ -213,10 +227,10 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = SEQUENCE, with_ids:
     placed = source.withColumn("curve", key("text")).withColumn("tie", F.xxhash64("doc_id", "text"))
     dealt = placed.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order).select("doc_id", "text")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return dealt.mapInArrow(_packing(tokenizer_path, length, with_ids), schema + ", ids array<int>" * with_ids)
+    return dealt.mapInArrow(_packing(tokenizer_path, length, with_ids, added_tokens), schema + ", ids array<int>" * with_ids)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False, added_tokens=True)

@@ -116,3 +116,17 @@ def test_copies_are_neighbours(spark):
     pieces = pack(spark.createDataFrame(rows, "doc_id long, text string"), BPE, with_ids=False).collect()
     order = [p.doc_id % 2 for p in sorted(pieces, key=lambda p: (p.sequence_id, p.offset)) if p.start == 0]
     assert sum(a != b for a, b in zip(order, order[1:])) <= 2
+
+
+def test_added_tokens_are_the_librarys(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    mark = "<|endoftext|>"
+    texts = [f"a {mark} b", mark, mark * 3, f"{mark} x", f"x{mark}", f"one two{mark} \n three  {mark}four", f"<|endoftext{mark}|>", "none here", f"é{mark}🙂 " * 50, ""]
+    t = Tokenizer.from_file(BPE)
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [np.frombuffer(b"".join(TextTokenizer.load(BPE).ids(x, added_tokens=True)), "<u4").tolist() for x in texts] == want
+    assert want[0] == [64, 220, 50256, 275]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    total = {p.doc_id: p.doc_tokens for p in op1_packing(spark, str(tmp_path)).collect()}
+    assert total == {i: len(x) + 1 for i, x in enumerate(want)}
