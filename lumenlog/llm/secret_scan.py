@@ -3,7 +3,8 @@
 Strong patterns (assignments, access identifiers, long hex runs) are reported wherever they are. Weak parts (account
 identifiers, bare mixed tokens, endpoints) are only candidates: they are reported when complementary parts lie within
 the same scope. Parts become rows of intervals, and the interval join of each part with those at most `scope` characters
-away is a range-framed window over its document, sorted by start: linear in the parts, with no pairs of them.
+away is a pair of windows over its document, sorted by start: the greatest end before and the least start after it, for
+each set of kinds. That is linear in the parts, with no pairs of them.
 """
 
 from __future__ import annotations
@@ -42,13 +43,14 @@ def _parts(text: Column, rank: int, kind: str, pattern: str) -> Column:
     return F.when(F.size(found) > 0, made)
 
 
-def secret_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
+def secret_spans(docs: DataFrame, scope: int = SCOPE, by_gap: bool = False) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked for every row of `docs` (doc_id long, text string).
 
     A null text counts as empty: no spans, the hash of the empty string. Rows with null or repeated ids each give their
     own row. Positions are code points of the whole text. Matches of a kind don't overlap; those of different kinds may,
     but a weak candidate that overlaps a strong span is part of it and isn't reported. An empty table gives an empty
-    result. Other columns are ignored.
+    result. Other columns are ignored. With `by_gap`, parts are linked if at most `scope` characters lie between the end
+    of the one and the start of the other; without, if their starts are that near.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("rid", F.monotonically_increasing_id())
     none = F.array(F.struct(F.lit(-1).alias("kind"), F.lit(0).alias("i"), F.lit(0).cast("long").alias("gap"), F.lit(0).cast("long").alias("length"), F.lit(True).alias("keep")))
@@ -61,7 +63,14 @@ def secret_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     near = Window.partitionBy("rid").orderBy("start").rangeBetween(-scope, scope)
     order = Window.partitionBy("rid").orderBy("start", "kind")
     before, after = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
-    has = lambda *kinds: F.max(F.col("kind").isin(*[RANK[k] for k in kinds])).over(near)
+
+    def has(*kinds: str) -> Column:
+        of = F.col("kind").isin(*[RANK[k] for k in kinds])
+        if not by_gap:
+            return F.max(of).over(near)
+        ended, begins = F.max(F.when(of, F.col("end"))).over(before), F.min(F.when(of, F.col("start"))).over(after)
+        return F.coalesce(ended >= F.col("start") - scope, F.lit(False)) | F.coalesce(begins <= F.col("end") + scope, F.lit(False))
+
     strong = F.col("kind").between(0, 2)
     judged = (
         placed.withColumn("inside", (F.coalesce(F.max(F.when(strong, F.col("end"))).over(before), F.lit(-1)) > F.col("start")) | (F.coalesce(F.min(F.when(strong, F.col("start"))).over(after), F.col("end")) < F.col("end")))
@@ -87,4 +96,4 @@ def secret_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_spans(table(spark, sf_dir, "documents"))
+    return secret_spans(table(spark, sf_dir, "documents"), by_gap=True)
