@@ -4,8 +4,10 @@ Texts and items are sequences of normalised words. A CGK walk copies a window sy
 coin flips that depend on step and symbol, so windows at a small edit distance get walks at a small Hamming distance.
 Each of several walks is sampled at a few random steps; a window whose sample equals one of an item's windows is a
 candidate. Windows are as long as the shortest item of their size class, start at places chosen by content (the hash of
-two neighbouring words), in texts and items alike, so an item gives several windows and an edit spoils only some. Each
-candidate is verified: the item's exact edit distance to the best stretch of words of the text.
+two neighbouring words), in texts and items alike, so an item gives several windows and an edit spoils only some. Items
+also have an exact path: cut into one piece more than it may have edits, an item within the bound has a piece (two to
+four words) that stands whole in the text, so every run of words that equals a piece is a candidate too. Each candidate
+is verified: the item's exact edit distance to the best stretch of words of the text.
 """
 
 from __future__ import annotations
@@ -37,6 +39,15 @@ def words_of(text: str) -> np.ndarray:
     return np.fromiter(map(zlib.crc32, text.lower().encode().translate(_STRIP, _PUNCTUATION).split()), np.uint32, -1)
 
 
+def _runs(h: np.ndarray, q: int) -> np.ndarray:
+    """Hash of each run of `q` words."""
+    key = np.full(max(len(h) - q + 1, 0), q, np.uint32)
+    for j in range(q):
+        key = (key ^ h[j : j + len(key)]) * np.uint32(0x9E3779B1)
+        key ^= key >> np.uint32(15)
+    return key
+
+
 class Embedding:
     """Coins of the walks and the sampled steps of each size class."""
 
@@ -79,7 +90,7 @@ class Embedding:
 class Items:
     """The benchmark items of one pass: their words and the window keys that lead to them."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], percent: int = MAX_EDITS_PERCENT):
         self.embedding = Embedding()
         self.ids = [i for i, _ in items]
         self.words = [words_of(t) for _, t in items]
@@ -115,24 +126,54 @@ class Items:
             keys = np.array([x[0] for x in r], np.uint32)
             bits[keys >> np.uint32(12)] = True
             self.tables[w, c] = bits, keys, np.array([x[1] for x in r], np.int64), np.array([x[2] for x in r], np.int64)
+        self.pieces = self._pieces(percent)
+
+    def _pieces(self, percent: int) -> dict[int, tuple]:
+        """Words of a piece -> its runs as in `tables`, for items of at least the least class: an item that may have e
+        edits is cut into e + 1 pieces, each edit spoils one at most, and the first words of each piece are kept."""
+        rows: dict[int, set] = {}
+        for n, h in enumerate(self.words):
+            if len(h) >= CLASSES[0]:
+                parts = percent * len(h) // 100 + 1
+                q = len(h) // parts
+                own = np.arange(parts) * q
+                rows.setdefault(q, set()).update((int(k), n, int(s)) for k, s in zip(_runs(h, q)[own], own))
+        out = {}
+        for q, found in rows.items():
+            r = sorted(found)
+            keys = np.array([x[0] for x in r], np.uint32)
+            bits = np.zeros(1 << 20, bool)
+            bits[keys >> np.uint32(12)] = True
+            out[q] = bits, keys, np.array([x[1] for x in r], np.int64), np.array([x[2] for x in r], np.int64)
+        return out
 
-    def candidates(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, place where it would begin) of all windows of `h`, a text that ends with `steps` zeros."""
+    def candidates(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, place where it would begin, place where it was met) of all windows of `h`, a text that ends with
+        `steps` zeros."""
         starts = self.embedding.starts(h)
-        items, places = [], []
+        items, places, met = [], [], []
+
+        def look_up(table, found, own):
+            bits, keys, of, offsets = table
+            hit = np.flatnonzero(bits[found >> np.uint32(12)])
+            lo, hi = np.searchsorted(keys, found[hit]), np.searchsorted(keys, found[hit], "right")
+            n = hi - lo
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if n.sum() else np.zeros(0, np.int64)
+            items.append(of[at])
+            met.append(np.repeat(own[hit], n))
+            places.append(met[-1] - offsets[at])
+
+        for q, pieces in self.pieces.items():
+            runs = _runs(h, q)
+            look_up(pieces, runs, np.arange(len(runs)))
         for w in range(WALKS if len(starts) and self.classes else 0):
             for c, found in self.embedding.keys(h, starts, w, self.classes).items():
-                bits, keys, of, offsets = self.tables[w, c]
-                hit = np.flatnonzero(bits[found >> np.uint32(12)])
-                lo, hi = np.searchsorted(keys, found[hit]), np.searchsorted(keys, found[hit], "right")
-                n = hi - lo
-                at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if n.sum() else np.zeros(0, np.int64)
-                items.append(of[at])
-                places.append(np.repeat(starts[hit], n) - offsets[at])
+                look_up(self.tables[w, c], found, starts)
         for i in np.flatnonzero(np.isin(h, np.array(list(self.short), np.uint32))) if self.short else ():
             items.append(np.array(self.short[int(h[i])]))
             places.append(np.full(len(items[-1]), i))
-        return (np.concatenate(items), np.concatenate(places)) if items else (np.zeros(0, np.int64),) * 2
+            met.append(places[-1])
+        return tuple(map(np.concatenate, (items, places, met))) if items else (np.zeros(0, np.int64),) * 3
 
 
 def best_stretch(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, int] | None:
@@ -166,10 +207,10 @@ def _found(shared, percent: int):
         h = np.concatenate([x for _, _, words in held for x in (words, gap)])
         ends = np.cumsum([len(words) + len(gap) for _, _, words in held])
         found: dict[tuple[int, int], tuple[int, int, int]] = {}
-        of, places = items.candidates(h)
+        of, places, met = items.candidates(h)
         most = percent * items.lengths[of] // 100
         # Places a few words apart lead to one stretch: they are verified once, with room on both sides.
-        doc = np.searchsorted(ends, np.maximum(places, 0), "right")
+        doc = np.searchsorted(ends, met, "right")
         begin = places - np.concatenate([[0], ends])[doc]
         for d, n, cell in np.unique(np.stack([doc, of, np.maximum(begin, 0) // (most + 2)], 1), axis=0).tolist():
             if found.get((d, n), (1,))[0] == 0:
@@ -187,7 +228,7 @@ def _found(shared, percent: int):
         return [(*held[d][:2], items.ids[n], hit[0], len(items.words[n]), *hit[1:]) for (d, n), hit in sorted(found.items())]
 
     def run(it: Iterator[pa.RecordBatch]):
-        items = shared()
+        items = shared(percent)
         held, size = [], 0
         for batch in it:
             rows = []
@@ -207,9 +248,9 @@ def _found(shared, percent: int):
 def _shared(broadcast):
     kept: list[Items] = []
 
-    def items() -> Items:
+    def items(percent: int) -> Items:
         if not kept:
-            kept.append(Items(broadcast.value))
+            kept.append(Items(broadcast.value, percent))
         return kept[0]
 
     return items

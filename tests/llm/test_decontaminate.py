@@ -84,3 +84,30 @@ def test_awkward_rows(spark):
     assert contaminations(empty(spark), items).collect() == [] and contaminations(df, items.limit(0)).collect() == []
     kept = decontaminated(clashing(df), items)
     assert kept.columns == clashing(df).columns and kept.count() == len(rows) - len({x[0] for x in found})
+
+
+def test_recall_at_the_bound_by_item_length(spark):
+    """Substitutions, as many as the bound admits, in items at and just above a size class; an item may also begin the
+    text with its first word gone."""
+    r = random.Random(20)
+    word = lambda: f"w{r.randrange(5000)}"
+    items, rows = [], []
+    for length in (4, 5, 6, 8, 9, 15, 16, 17, 20, 31, 32, 59):
+        for _ in range(40):
+            text = [word() for _ in range(length)]
+            edited, edits = list(text), length // 5
+            for p in r.sample(range(length), edits):
+                edited[p] = word()
+            items.append((len(items), " ".join(text)))
+            rows.append((len(rows), " ".join([word() for _ in range(30)] + edited + [word() for _ in range(30)]), length))
+            if edits:
+                rows.append((len(rows), " ".join(text[1:]), length))
+                items[-1] += (rows[-2][0], rows[-1][0])
+            else:
+                items[-1] += (rows[-1][0],)
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string").coalesce(1)
+    got = {(x.doc_id, x.item_id) for x in contaminations(docs, spark.createDataFrame([x[:2] for x in items], "item_id long, text string")).collect()}
+    for length in sorted({x[2] for x in rows}):
+        own = [(d, x[0]) in got for x in items if len(x[1].split()) == length for d in x[2:]]
+        print(length, sum(own) / len(own), len(own))
+        assert all(own), length
