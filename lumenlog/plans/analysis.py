@@ -260,12 +260,35 @@ def bench_compare(spark, d):
 with q as (select item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from benchmark), d as (select doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), ' ') || ' ' as t from documents)
 select q.item_id, count(*)::bigint as holders from q join d on contains(d.t, ' ' || array_to_string(list_slice(q.w, 1, 8), ' ') || ' ') group by 1""")
 def passage_holders(spark, d):
-    """Documents that hold the first eight words of a passage, by an equi-join of eight-word runs."""
-    runs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 7, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(8)), " ")))
-    items = table(spark, d, "benchmark").select("item_id", F.slice(tokens(F.col("text")), 1, 8).alias("w")).select("item_id", F.array_join("w", " ").alias("head"))
-    words = table(spark, d, "documents").select("doc_id", tokens(F.col("text")).alias("w")).filter(F.size("w") >= 8)
-    grams = words.select("doc_id", F.explode(F.array_distinct(runs(F.col("w")))).alias("h"))
-    return grams.join(items.withColumn("h", F.xxhash64("head")), "h").groupBy("item_id").agg(F.count(F.lit(1)).alias("holders"))
+    """Documents that hold the first eight words of a passage, or all of a shorter one."""
+    return _passage_holders(table(spark, d, "documents"), table(spark, d, "benchmark"), whole=False)
+
+
+@query("""
+with q as (select item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from benchmark), d as (select doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), ' ') || ' ' as t from documents)
+select q.item_id, count(*)::bigint as holders from q join d on contains(d.t, ' ' || array_to_string(q.w, ' ') || ' ') group by 1""")
+def passage_holders_whole(spark, d):
+    """Documents that hold all words of a passage."""
+    return _passage_holders(table(spark, d, "documents"), table(spark, d, "benchmark"), whole=True)
+
+
+def _passage_holders(documents, benchmark, whole):
+    """An equi-join of runs of eight words, or of all words of shorter passages; the whole passage is verified in the text."""
+    spaced = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+    items = benchmark.filter("text is not null").select("item_id", tokens(F.col("text")).alias("w")).select("item_id", spaced(F.col("w")).alias("passage"), F.slice("w", 1, 8).alias("head"))
+    lengths = sorted(r[0] for r in items.select(F.size("head")).distinct().collect())  # 0 to 8
+
+    def runs(n):
+        places = F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1)))
+        made = F.transform(places, lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(n)), " "))) if n else F.array(F.xxhash64(F.lit("")))
+        return F.when(F.size("w") >= n if n else F.size("w") == 0, made).otherwise(F.expr("cast(array() as array<bigint>)"))
+
+    words = documents.filter("text is not null").select(F.monotonically_increasing_id().alias("row"), tokens(F.col("text")).alias("w"))
+    grams = words.select("row", F.explode(F.array_distinct(F.concat(*[runs(n) for n in lengths or [8]]))).alias("h"))
+    held = grams.join(items.withColumn("h", F.xxhash64(F.array_join("head", " "))), "h")
+    if whole:
+        held = held.join(words.select("row", spaced(F.col("w")).alias("t")), "row").filter(F.contains("t", "passage"))
+    return held.groupBy("item_id").agg(F.count(F.lit(1)).alias("holders"))
 
 
 @query("""

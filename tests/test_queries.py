@@ -70,3 +70,18 @@ def test_roots_of_a_deep_chain_and_a_cycle(spark):
     got = {r.c: (r.root, r.depth) for r in roots_of(spark.createDataFrame(links, "c long, p long"), "c", "p").collect()}
     assert got == {i: (0, i) for i in range(105)} | {1000: (1001, 2), 1001: (1001, 1), 1002: (1002, 1), 2000: (1999, 0)}
     assert roots_of(spark.createDataFrame([], "c long, p long"), "c", "p").collect() == []
+
+
+@pytest.mark.parametrize("name", ["passage_holders", "passage_holders_whole"])
+def test_holders_of_short_and_long_passages(spark, tmp_path, name):
+    ten = "one two three four five six seven eight nine ten"
+    items = [(1, "one two three"), (2, ten), (3, "Eight, words: that (make) up this one exactly"), (4, "zebra"), (5, ten + " eleven"), (6, ""), (7, None), (8, "six seven")]
+    docs = ["x one two three y", "One two; three", "one two three four five six seven eight other", ten, ten + " eleven twelve", "eight words that make up this one exactly", "a zebra", "zebras", "", "...", None, "zebra zebra", "six seven"]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    for t in ("benchmark", "documents"):
+        c.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    got = {r.item_id: r.holders for r in catalog()[name].build(spark, str(tmp_path)).collect()}
+    assert got == dict(c.execute(catalog()[name].sql).fetchall())
+    assert got[1] == 5 and got[4] == 2 and got[8] == 4 and got[5] == (1 if name.endswith("whole") else 3)
