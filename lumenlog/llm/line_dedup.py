@@ -18,10 +18,13 @@ MIN_CHARS = 20
 BLOCK, MOST_BLOCKS = 256, 64
 
 
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """rid, doc_id, pos, line and its 128-bit hash (h1, h2), for lines of at least `min_chars` characters."""
+def _lines(docs: DataFrame, min_chars: int, short: bool = False) -> DataFrame:
+    """rid, doc_id, pos, line and its 128-bit hash (h1, h2), for lines of at least `min_chars` characters; with
+    `short`, also for shorter ones with a letter or digit."""
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    lines = rows.select("rid", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).filter(F.length("line") >= min_chars)
+    lines = rows.select("rid", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    long = F.length("line") >= min_chars
+    lines = lines.filter(long | F.col("line").rlike(r"[\p{L}\p{N}]") if short else long)
     return lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
 
 
@@ -90,9 +93,9 @@ def near_lines(docs: DataFrame, distinct: DataFrame, min_chars: int) -> DataFram
     return near
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """rid (of monotonically_increasing_id over `docs`) and the sorted 0-based numbers `removed` of its repeated lines."""
-    lines = _lines(docs, min_chars)
+    lines = _lines(docs, min_chars, short)
     distinct = written(
         lines.select("h1", "h2", F.struct("doc_id", "rid", "pos").alias("at")).groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")), "distinct"
     )
@@ -102,16 +105,17 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return placed.groupBy("rid").agg(F.sort_array(F.collect_list("pos")).alias("removed"))
 
 
-def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """All columns of `docs` (doc_id long, text string among them) with text without its repeated lines, n_lines and n_removed.
 
-    Lines are parts of a text between line feeds; those under `min_chars` characters always stay. A line goes if it
+    Lines are parts of a text between line feeds; those under `min_chars` characters always stay, or with `short`
+    stay unless they have a letter or digit and equal an earlier one. A line goes if it
     equals an earlier one, or if an earlier distinct line is at edit distance one, whether or not that one stays itself.
     Lines are ordered by doc_id (null first), then row, then place, so of repeated rows the first keeps its lines. A null
     text stays null and has one empty line. Texts and lines are taken whole. An empty table gives an empty result.
     """
     docs = stable(docs)
-    gone = repeated_lines(docs, min_chars).withColumnsRenamed({"rid": "__rid", "removed": "__removed"})
+    gone = repeated_lines(docs, min_chars, short).withColumnsRenamed({"rid": "__rid", "removed": "__removed"})
     joined = docs.withColumn("__row", F.monotonically_increasing_id()).join(gone.hint("merge"), F.col("__row") == F.col("__rid"), "left")
     lines = F.split(text_of(), "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__removed"))
@@ -119,11 +123,16 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return joined.withColumn("n_lines", F.size(lines)).withColumn("n_removed", F.coalesce(F.size("__removed"), F.lit(0))).withColumn("text", text).drop("__row", "__rid", "__removed")
 
 
-def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op8_line_dedup(spark: SparkSession, sf_dir: str, short: bool = False) -> DataFrame:
     """Per document: lines, removed lines and their 0-based numbers, joined by commas."""
     docs = stable(table(spark, sf_dir, "documents"))
-    gone = repeated_lines(docs).withColumnRenamed("rid", "g_rid")
+    gone = repeated_lines(docs, short=short).withColumnRenamed("rid", "g_rid")
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.size(F.split(text_of(), "\n", -1)).cast("long").alias("n_lines"))
     return rows.join(gone.hint("merge"), F.col("rid") == F.col("g_rid"), "left").select(
         "doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed_lines")
     )
+
+
+def op8_line_dedup_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op8_line_dedup, with equal lines of any length that have a letter or digit."""
+    return op8_line_dedup(spark, sf_dir, short=True)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op4_decontamination
-from .line_dedup import op8_line_dedup
+from .line_dedup import op8_line_dedup, op8_line_dedup_short
 from .ngram_join import op5_ngram_join
 from .packing import op1_packing
 from .pii import op9_pii
@@ -23,6 +23,7 @@ QUERIES = {
     "op6_warc": op6_warc,
     "op7_secret_scan": op7_secret_scan,
     "op8_line_dedup": op8_line_dedup,
+    "op8_line_dedup_short": op8_line_dedup_short,
     "op9_pii": op9_pii,
     "op10_quality_classifier": op10_quality_classifier,
 }

@@ -78,3 +78,25 @@ def test_awkward_rows(spark):
     assert line_dedup(empty(spark)).collect() == []
     plan = got._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_short_lines_go_if_equal(spark):
+    rows = [(0, "Menu\nHome\n\n--\na first line of its own", None, None, None), (1, "Home\nHomes\n--\n\nMenu\n漢", None, None, None), (2, "漢\nMenu\n \na first line of its own\na first line of its owm", None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup(docs, short=True).collect()}
+    assert got == {0: (rows[0][1], 0), 1: ("Homes\n--\n\n漢", 2), 2: (" ", 4)}
+
+
+def test_the_query_drops_short_repeats(spark, small):
+    from lumenlog.llm.line_dedup import op8_line_dedup_short
+
+    rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect())
+    got = {r.doc_id: {int(x) for x in r.removed_lines.split(",") if x} for r in op8_line_dedup_short(spark, small).collect()}
+    seen, short = set(), 0
+    for doc_id, text in rows:
+        for i, line in enumerate(text.split("\n")):
+            if len(line) < 20 and any(c.isalnum() for c in line):
+                assert (i in got[doc_id]) == (line in seen)
+                short += line in seen
+                seen.add(line)
+    assert short
