@@ -85,3 +85,20 @@ def test_holders_of_short_and_long_passages(spark, tmp_path, name):
     got = {r.item_id: r.holders for r in catalog()[name].build(spark, str(tmp_path)).collect()}
     assert got == dict(c.execute(catalog()[name].sql).fetchall())
     assert got[1] == 5 and got[4] == 2 and got[8] == 4 and got[5] == (1 if name.endswith("whole") else 3)
+
+
+def test_ties_of_many_copies_go_to_the_least_ids(spark):
+    from lumenlog.operators.vectors import knn_edges
+
+    ids = [(i * 37) % 60 for i in range(60)]
+    got = {(r.a, r.b) for r in knn_edges(spark.createDataFrame([(i, [1.0, 2.0]) for i in ids], "vec_id long, embedding array<double>").coalesce(1), 3, 0.5).collect()}
+    assert got == {(min(q, b), max(q, b)) for q in range(60) for b in sorted(set(range(60)) - {q})[:3]}
+
+
+def test_communities_settle(spark):
+    from lumenlog.operators.vectors import communities
+
+    chain = [(i, i + 1, 1 - 0.01 * i) for i in range(13)]  # the least label moves one node a round
+    found = {r.node: r.community for r in communities(spark.createDataFrame(chain, "a long, b long, weight double")).collect()}
+    assert found == {i: 0 for i in range(14)}
+    assert communities(spark.createDataFrame([], "a long, b long, weight double")).collect() == []
