@@ -81,21 +81,37 @@ def _sketched(values_of):
     return run
 
 
-def _summed(it: Iterator[pa.RecordBatch]):
-    sums: dict[int, np.ndarray] = {}
-    for batch in it:
-        for chunk, packed in zip(batch.column("chunk").to_pylist(), batch.column("counts")):
-            places, counts = _unpacked(packed.as_py())
-            sums.setdefault(chunk, np.zeros(_CHUNK, np.int64))[places] += counts
-    yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(sums), pa.int32()), "counts": pa.array([s.astype("<i8").tobytes() for s in sums.values()], pa.binary())})
-
-
-def sketch(rows: DataFrame, values_of) -> np.ndarray:
-    """Counts of all values in 2**SKETCH_BITS buckets: of fixed size however many values there are."""
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
+def _summed(finish):
+    """Whole counts of each chunk, finished into as many bytes as the driver needs of it."""
+
+    def run(it: Iterator[pa.RecordBatch]):
+        sums: dict[int, np.ndarray] = {}
+        for batch in it:
+            for chunk, packed in zip(batch.column("chunk").to_pylist(), batch.column("counts")):
+                places, counts = _unpacked(packed.as_py())
+                sums.setdefault(chunk, np.zeros(_CHUNK, np.int64))[places] += counts
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(sums), pa.int32()), "counts": pa.array([finish(s).tobytes() for s in sums.values()], pa.binary())})
+
+    return run
+
+
+def _levels(counts: np.ndarray) -> np.ndarray:
+    """One byte a bucket: eight levels for each doubling of its count."""
+    return np.minimum(255, 8 * np.log2(np.maximum(counts, 1))).astype(np.uint8)
+
+
+def _bits(counts: np.ndarray) -> np.ndarray:
+    """One bit a bucket: whether anything fell into it."""
+    return np.packbits(counts > 0)
+
+
+def sketch(rows: DataFrame, values_of, finish) -> np.ndarray:
+    """Counts of all values in 2**SKETCH_BITS buckets, finished on executors: of fixed size however many values there are."""
+    size = len(finish(np.zeros(_CHUNK, np.int64)))
+    out = np.zeros(CHUNKS * size, np.uint8)
     partial = rows.mapInArrow(_sketched(values_of), "chunk int, counts binary")
-    for chunk, counts in partial.repartition(CHUNKS, "chunk").mapInArrow(_summed, "chunk int, counts binary").collect():
-        out[chunk * _CHUNK : (chunk + 1) * _CHUNK] = np.frombuffer(counts, "<i8")
+    for chunk, finished in partial.repartition(CHUNKS, "chunk").mapInArrow(_summed(finish), "chunk int, counts binary").collect():
+        out[chunk * size : (chunk + 1) * size] = np.frombuffer(finished, np.uint8)
     return out
 
 
@@ -296,6 +312,12 @@ def _verified(percent: int):
     return run
 
 
+def _holds(hits: np.ndarray, sig: int) -> bool:
+    """Whether the bit of a class's bucket is set."""
+    bucket = (sig + (1 << 63)) >> (64 - SKETCH_BITS)
+    return bool(hits[bucket >> 3] >> (7 - (bucket & 7)) & 1)
+
+
 def _sets(levels, wanted, k: int):
     """The whole sets of documents whose class may be among the wanted ones (a bucket filter of fixed size)."""
 
@@ -307,7 +329,7 @@ def _sets(levels, wanted, k: int):
             for cell in batch.column("text"):
                 grams = _ordered(gram_hashes(cell.as_py(), k), of)
                 sig = _signature(grams)
-                if len(grams) and hits[(sig + (1 << 63)) >> (64 - SKETCH_BITS)] and sig not in seen:
+                if len(grams) and _holds(hits, sig) and sig not in seen:
                     if len(seen) > 500_000:
                         seen.clear()
                     seen.add(sig)
@@ -328,8 +350,7 @@ class _Join:
         self.source, self.k, self.percent = source, k, percent
         self.spark: SparkSession = source.sparkSession
         with arrow_batches(self.spark, BATCH):
-            counts = sketch(source.select("text"), lambda batch: (gram_hashes(c.as_py(), k) for c in batch.column("text")))
-        levels = np.minimum(255, 8 * np.log2(np.maximum(counts, 1))).astype(np.uint8)
+            levels = sketch(source.select("text"), lambda batch: (gram_hashes(c.as_py(), k) for c in batch.column("text")), _levels)
         self.levels = self.spark.sparkContext.broadcast(levels)
 
     def roots(self) -> DataFrame:
@@ -346,7 +367,7 @@ class _Join:
         salted = written(pairs.join(spread.hint("merge"), "a").select("a", F.pmod(F.hash("b"), F.col("salts")).alias("salt"), "b"), "wanted")
         wanted = salted.select("a", "salt", "b", F.col("b").alias("sig")).unionAll(salted.select("a", "salt").distinct().select("a", "salt", F.lit(None).cast("long").alias("b"), F.col("a").alias("sig")))
         with arrow_batches(self.spark, BATCH):
-            hits = self.spark.sparkContext.broadcast(sketch(wanted.select("sig"), _sig_values) > 0)
+            hits = self.spark.sparkContext.broadcast(sketch(wanted.select("sig"), _sig_values, _bits))
             # Sets are dealt out by class once, for dropping repeats and for the join.
             sets = self.source.select("text").mapInArrow(_sets(self.levels, hits, self.k), "sig long, grams binary").dropDuplicates(["sig"])
             dealt = wanted.join(sets.hint("merge"), "sig").select("a", "salt", "b", "grams").repartition(partitions(self.spark), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
