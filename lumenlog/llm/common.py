@@ -7,6 +7,7 @@ import contextlib
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,14 +17,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process, which share every folder."""
+    return spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and all executors see: spark.checkpoint.dir, or one of our own where that is unset."""
+    """A folder that the driver and all executors see: spark.checkpoint.dir, or, on a local master, one of our own where
+    that is unset. On a cluster there is no such folder to fall back to."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     given = spark.sparkContext.getCheckpointDir()
     if given:
         return given
+    if not is_local(spark):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="lumenlog-")
     spark.sparkContext.setCheckpointDir(own)
     return own
@@ -76,10 +85,42 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def stable(docs: DataFrame) -> DataFrame:
-    """`docs` itself where it is a plain scan, whose row ids are the same at every read; else a written copy."""
-    plan = docs._jdf.queryExecution().executedPlan().toString()
-    return written(docs, "rows") if any(x in plan for x in ("Exchange", "Sort", "Python", "Arrow", "ExistingRDD")) else docs
+#: What a plain scan may be wrapped in: nodes that neither make rows nor drop their place in a file.
+_KEEP_ROWS = {"Project", "Filter", "SubqueryAlias"}
+
+
+def _is_scan(docs: DataFrame) -> bool:
+    node = docs._jdf.queryExecution().analyzed()
+    while node.nodeName() in _KEEP_ROWS and node.children().size() == 1:
+        node = node.children().head()
+    return node.nodeName() == "LogicalRelation" or node.nodeName().startswith("Relation")
+
+
+#: Type of the ids of `identified`.
+ROW_ID = "struct<file:bigint,place:bigint>"
+
+
+def identified(docs: DataFrame, name: str) -> DataFrame:
+    """`docs` with a column `name` (file long, place long) that no two rows share and that is the same at every read.
+
+    A row is known by its Parquet file and its place in it, which don't depend on how files are split into tasks, as
+    monotonically_increasing_id does: splits follow the number of cores, which changes when executors come or go.
+    Whatever isn't a plain scan of Parquet files is written to the shared folder once and read from there.
+    """
+
+    def by_place(scan: DataFrame) -> DataFrame:
+        at = scan.metadataColumn("_metadata")
+        return scan.withColumn(name, F.struct(F.xxhash64(at["file_path"]).alias("file"), at["row_index"].alias("place")))
+
+    if _is_scan(docs):
+        try:
+            return by_place(docs)
+        except AnalysisException:  # files of a format without places
+            pass
+    copy = written(docs, "rows")
+    out = by_place(copy)
+    out.scratch = copy.scratch
+    return out
 
 
 @contextlib.contextmanager

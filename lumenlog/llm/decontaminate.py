@@ -3,11 +3,13 @@
 Texts and items are sequences of normalised words. A CGK walk copies a window symbol by symbol and moves on at random
 coin flips that depend on step and symbol, so windows at a small edit distance get walks at a small Hamming distance.
 Each of several walks is sampled at a few random steps; a window whose sample equals one of an item's windows is a
-candidate. Windows are as long as the shortest item of their size class, start at places chosen by content (the hash of
-two neighbouring words), in texts and items alike, so an item gives several windows and an edit spoils only some. Items
+candidate. Windows are item-sized: their length is the largest power of two that the item holds (of up to 128 words),
+so that as many edits as the item may have fall into one, and they start at places chosen by content (the hash of two
+neighbouring words), in texts and items alike, so an item gives several windows and an edit spoils only some. Items
 also have an exact path: cut into one piece more than it may have edits, an item within the bound has a piece (two to
-four words) that stands whole in the text, so every run of words that equals a piece is a candidate too. Each candidate
-is verified: the item's exact edit distance to the best stretch of words of the text.
+four words) that stands whole in the text, so every run of words that equals a piece is a candidate too. Words are
+hashed to find candidates; each candidate is then verified on the words themselves: the item's exact edit distance to
+the best stretch of words of the text.
 """
 
 from __future__ import annotations
@@ -20,23 +22,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stable, table, text_of
+from .common import ROW_ID, identified, table, text_of
 
 #: Words of the windows of each size class; items with fewer words than the least are compared as a whole.
-CLASSES = (4, 8, 16)
+CLASSES = (4, 8, 16, 32, 64, 128)
 WALKS, SAMPLES = 10, 4
-START_MODULUS, LEAST_STARTS = 4, 4
+#: One of four places is a start of windows of up to 16 words, and fewer of longer ones, which take more steps each.
+START_MODULUS, LEAST_STARTS = {c: max(4, c // 4) for c in CLASSES}, 4
 MAX_EDITS_PERCENT = 20
-#: Items searched for in one pass over the documents; more items are taken in blocks of this many.
-ITEMS_PER_PASS = 20_000
+#: Items, and characters of them, searched for in one pass over the documents; more are taken in blocks of so many.
+ITEMS_PER_PASS, BYTES_PER_PASS = 20_000, 8 << 20
 BLOCK_WORDS = 400_000
 _STRIP = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+def plain_words(text: str) -> list[bytes]:
+    """The lower-case words of a text without ASCII punctuation; words that are all punctuation go."""
+    return text.lower().encode().translate(_STRIP, _PUNCTUATION).split()
+
+
 def words_of(text: str) -> np.ndarray:
-    """Hashes of the lower-case words of a text without ASCII punctuation; words that are all punctuation go."""
-    return np.fromiter(map(zlib.crc32, text.lower().encode().translate(_STRIP, _PUNCTUATION).split()), np.uint32, -1)
+    """Hashes of the words of a text."""
+    return np.fromiter(map(zlib.crc32, plain_words(text)), np.uint32, -1)
+
+
+def class_of(length: int) -> int:
+    """Words of the windows of an item of so many words; 0 if it only matches whole."""
+    return max((c for c in CLASSES if c <= length), default=0)
 
 
 def _runs(h: np.ndarray, q: int) -> np.ndarray:
@@ -49,83 +62,87 @@ def _runs(h: np.ndarray, q: int) -> np.ndarray:
 
 
 class Embedding:
-    """Coins of the walks and the sampled steps of each size class."""
+    """Coins of the walks and the sampled steps of each size class, for the classes in use."""
 
-    def __init__(self, seed: int = 4):
+    def __init__(self, classes: tuple[int, ...] = CLASSES, seed: int = 4):
         r = np.random.default_rng(seed)
-        self.steps = 2 * CLASSES[-1]
-        self.salt = r.integers(1, 1 << 32, (WALKS, self.steps), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+        self.classes = classes
         # Walk and class -> the steps sampled, among those that two flips a word would take.
+        sampled = {(w, c): np.sort(r.choice(np.arange(2 * c - c // 2), min(SAMPLES, c), replace=False)) for w in range(WALKS) for c in CLASSES}
+        self.sampled = {k: x for k, x in sampled.items() if k[1] in classes}
+        self.steps = 2 * max(classes, default=0)
+        self.salt = r.integers(1, 1 << 32, (WALKS, 2 * CLASSES[-1]), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
         #: Pairs of words that are starts besides, by a hash of 20 bits: set for items with few starts of their own.
-        self.more = np.zeros(1 << 20, bool)
-        self.sampled = {(w, c): np.sort(r.choice(np.arange(2 * c - c // 2), min(SAMPLES, c), replace=False)) for w in range(WALKS) for c in CLASSES}
+        self.more = {c: np.zeros(1 << 20, bool) for c in classes}
 
     def pairs(self, h: np.ndarray) -> np.ndarray:
         """Mixed hash of each word with the next."""
         mixed = (h[:-1] * np.uint32(0x85EBCA6B)) ^ (h[1:] * np.uint32(0xC2B2AE35))
         return (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
 
-    def starts(self, h: np.ndarray) -> np.ndarray:
-        """Places whose two words hash to a multiple of START_MODULUS, or are a start besides."""
+    def starts(self, h: np.ndarray, c: int) -> np.ndarray:
+        """Places whose two words hash to a multiple of the class's modulus, or are a start of the class besides."""
         if len(h) < 2:
             return np.zeros(0, np.int64)
         mixed = self.pairs(h)
-        return np.flatnonzero(((mixed >> np.uint32(8)) % np.uint32(START_MODULUS) == 0) | self.more[mixed >> np.uint32(12)])
+        return np.flatnonzero(((mixed >> np.uint32(8)) % np.uint32(START_MODULUS[c]) == 0) | self.more[c][mixed >> np.uint32(12)])
 
-    def keys(self, h: np.ndarray, starts: np.ndarray, walk: int, classes=CLASSES) -> dict[int, np.ndarray]:
-        """Sampled keys of the windows at `starts`, for each size class. `h` must go on for `steps` words after a start."""
+    def keys(self, h: np.ndarray, starts: np.ndarray, walk: int, c: int) -> np.ndarray:
+        """Sampled keys of the windows of class `c` at `starts`. `h` must go on for 2 c words after a start."""
         at = starts.astype(np.int32)
-        keys = {c: np.full(len(at), c, np.uint32) for c in classes}
-        last = max(int(self.sampled[walk, c][-1]) for c in classes)
-        for j in range(last + 1):
+        key = np.full(len(at), c, np.uint32)
+        sampled = self.sampled[walk, c]
+        for j in range(int(sampled[-1]) + 1):
             symbol = h[at]
-            for c in classes:
-                if j in self.sampled[walk, c]:
-                    keys[c] = (keys[c] ^ symbol) * np.uint32(0x9E3779B1)
-                    keys[c] ^= keys[c] >> np.uint32(15)
+            if j in sampled:
+                key = (key ^ symbol) * np.uint32(0x9E3779B1)
+                key ^= key >> np.uint32(15)
             at += ((symbol * self.salt[walk, j]) >> np.uint32(31)).astype(np.int32)
-        return keys
+        return key
+
+
+def _table(rows) -> tuple:
+    """Rows (key, item, place) as a filter of 20 bits of the keys, and sorted arrays."""
+    r = sorted(rows)
+    keys = np.array([x[0] for x in r], np.uint32)
+    bits = np.zeros(1 << 20, bool)
+    bits[keys >> np.uint32(12)] = True
+    return bits, keys, np.array([x[1] for x in r], np.int64), np.array([x[2] for x in r], np.int64)
 
 
 class Items:
     """The benchmark items of one pass: their words and the window keys that lead to them."""
 
     def __init__(self, items: list[tuple[int, str]], percent: int = MAX_EDITS_PERCENT):
-        self.embedding = Embedding()
         self.ids = [i for i, _ in items]
+        self.plain = [plain_words(t) for _, t in items]
         self.words = [words_of(t) for _, t in items]
         self.lengths = np.array([len(h) for h in self.words], np.int64)
+        self.classes = tuple(sorted({class_of(n) for n in self.lengths.tolist()} - {0}))
+        self.embedding = Embedding(self.classes)
         self.short = {}
-        pad = np.zeros(2 * self.embedding.steps, np.uint32)
-        rows = {(w, c): [] for w in range(WALKS) for c in CLASSES}
+        pad = np.zeros(self.embedding.steps, np.uint32)
+        rows = {(w, c): [] for w in range(WALKS) for c in self.classes}
         for h in self.words:
-            c = max((c for c in CLASSES if c <= len(h)), default=0)
-            if c and (self.embedding.starts(h) <= len(h) - c).sum() < LEAST_STARTS:
+            c = class_of(len(h))
+            if c and (self.embedding.starts(h, c) <= len(h) - c).sum() < LEAST_STARTS:
                 places = np.linspace(0, len(h) - c, LEAST_STARTS).astype(np.int64)
-                self.embedding.more[self.embedding.pairs(h)[places] >> np.uint32(12)] = True
+                self.embedding.more[c][self.embedding.pairs(h)[places] >> np.uint32(12)] = True
         for n, h in enumerate(self.words):
-            if 0 < len(h) < CLASSES[0]:
-                self.short.setdefault(int(h[0]), []).append(n)
-                continue
-            c = max((c for c in CLASSES if c <= len(h)), default=0)
+            c = class_of(len(h))
             if not c:
+                if len(h):
+                    self.short.setdefault(int(h[0]), []).append(n)
                 continue
-            own = self.embedding.starts(h)
+            own = self.embedding.starts(h, c)
             own = own[own <= len(h) - c]
             for w in range(WALKS):
-                keys = self.embedding.keys(np.concatenate([h, pad]), own, w, (c,))[c]
+                keys = self.embedding.keys(np.concatenate([h, pad]), own, w, c)
                 # A key that repeats within an item leads to its first and last place there.
                 last = {int(k): int(s) for k, s in zip(keys, own)}
                 first = {int(k): int(s) for k, s in zip(keys[::-1], own[::-1])}
                 rows[w, c] += [(k, n, s) for k in first for s in {first[k], last[k]}]
-        self.classes = tuple(c for c in CLASSES if any(rows[w, c] for w in range(WALKS)))
-        self.tables = {}
-        for (w, c), r in rows.items():
-            r.sort()
-            bits = np.zeros(1 << 20, bool)
-            keys = np.array([x[0] for x in r], np.uint32)
-            bits[keys >> np.uint32(12)] = True
-            self.tables[w, c] = bits, keys, np.array([x[1] for x in r], np.int64), np.array([x[2] for x in r], np.int64)
+        self.tables = {at: _table(r) for at, r in rows.items()}
         self.pieces = self._pieces(percent)
 
     def _pieces(self, percent: int) -> dict[int, tuple]:
@@ -138,19 +155,11 @@ class Items:
                 q = len(h) // parts
                 own = np.arange(parts) * q
                 rows.setdefault(q, set()).update((int(k), n, int(s)) for k, s in zip(_runs(h, q)[own], own))
-        out = {}
-        for q, found in rows.items():
-            r = sorted(found)
-            keys = np.array([x[0] for x in r], np.uint32)
-            bits = np.zeros(1 << 20, bool)
-            bits[keys >> np.uint32(12)] = True
-            out[q] = bits, keys, np.array([x[1] for x in r], np.int64), np.array([x[2] for x in r], np.int64)
-        return out
+        return {q: _table(found) for q, found in rows.items()}
 
     def candidates(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(item, place where it would begin, place where it was met) of all windows of `h`, a text that ends with
         `steps` zeros."""
-        starts = self.embedding.starts(h)
         items, places, met = [], [], []
 
         def look_up(table, found, own):
@@ -166,9 +175,10 @@ class Items:
         for q, pieces in self.pieces.items():
             runs = _runs(h, q)
             look_up(pieces, runs, np.arange(len(runs)))
-        for w in range(WALKS if len(starts) and self.classes else 0):
-            for c, found in self.embedding.keys(h, starts, w, self.classes).items():
-                look_up(self.tables[w, c], found, starts)
+        for c in self.classes:
+            starts = self.embedding.starts(h[: len(h) - self.embedding.steps], c)
+            for w in range(WALKS):
+                look_up(self.tables[w, c], self.embedding.keys(h, starts, w, c), starts)
         for i in np.flatnonzero(np.isin(h, np.array(list(self.short), np.uint32))) if self.short else ():
             items.append(np.array(self.short[int(h[i])]))
             places.append(np.full(len(items[-1]), i))
@@ -198,14 +208,26 @@ def best_stretch(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, in
     return best
 
 
+def exact_stretch(item: list[bytes], text: list[bytes], most: int) -> tuple[int, int, int] | None:
+    """`best_stretch` of the words themselves."""
+    number: dict[bytes, int] = {}
+    numbered = [np.array([number.setdefault(w, len(number)) for w in words], np.int64) for words in (item, text)]
+    return best_stretch(*numbered, most)
+
+
+_FOUND = ["doc_id", "item_id", "n_edits", "item_words", "start_word", "end_word"]
+
+
 def _found(shared, percent: int):
-    names = ["row", "doc_id", "item_id", "n_edits", "item_words", "start_word", "end_word"]
+    def batch_of(rows, row_type) -> pa.RecordBatch:
+        columns = [[r[i] for r in rows] for i in range(len(_FOUND) + 1)]
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], row_type)] + [pa.array(c, pa.int64()) for c in columns[1:]], names=["row", *_FOUND])
 
     def searched(held, items: Items):
-        """held: (row, doc_id, words) of some texts, searched as one with zeros between them."""
-        gap = np.zeros(2 * items.embedding.steps, np.uint32)
-        h = np.concatenate([x for _, _, words in held for x in (words, gap)])
-        ends = np.cumsum([len(words) + len(gap) for _, _, words in held])
+        """held: (row, doc_id, words, text) of some texts, searched as one with zeros between them."""
+        gap = np.zeros(max(items.embedding.steps, max(items.pieces, default=1)), np.uint32)
+        h = np.concatenate([x for _, _, words, _ in held for x in (words, gap)])
+        ends = np.cumsum([len(words) + len(gap) for _, _, words, _ in held])
         found: dict[tuple[int, int], tuple[int, int, int]] = {}
         of, places, met = items.candidates(h)
         most = percent * items.lengths[of] // 100
@@ -222,25 +244,27 @@ def _found(shared, percent: int):
             # Each edit spoils one word of the item at most, so all others must be there.
             if np.isin(item, stretch).sum() < len(item) - most:
                 continue
-            hit = best_stretch(item, stretch, most)
+            # Words with equal hashes can only make the distance look smaller, so those within it are looked at again.
+            hit = best_stretch(item, stretch, most) and exact_stretch(items.plain[n], plain_words(held[d][3])[lo : lo + len(stretch)], most)
             if hit and ((d, n) not in found or hit[0] < found[d, n][0]):
                 found[d, n] = hit[0], hit[1] + lo, hit[2] + lo
-        return [(*held[d][:2], items.ids[n], hit[0], len(items.words[n]), *hit[1:]) for (d, n), hit in sorted(found.items())]
+        return [(held[d][0].as_py(), held[d][1], items.ids[n], hit[0], len(items.words[n]), *hit[1:]) for (d, n), hit in sorted(found.items())]
 
     def run(it: Iterator[pa.RecordBatch]):
         items = shared(percent)
-        held, size = [], 0
+        held, size, row_type = [], 0, None
         for batch in it:
-            rows = []
-            for row, doc_id, cell in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text")):
-                held.append((row, doc_id, words_of(cell.as_py())))
+            rows, row_type = [], batch.schema.field("row").type
+            for row, doc_id, cell in zip(batch.column("row"), batch.column("doc_id").to_pylist(), batch.column("text")):
+                text = cell.as_py()
+                held.append((row, doc_id, words_of(text), text))
                 size += len(held[-1][2])
                 if size > BLOCK_WORDS:
                     rows += searched(held, items)
                     held, size = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [()] * len(names))], names=names)
-        rows = searched(held, items) if held else []
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [()] * len(names))], names=names)
+            yield batch_of(rows, row_type)
+        if held:
+            yield batch_of(searched(held, items), row_type)
 
     return run
 
@@ -256,39 +280,49 @@ def _shared(broadcast):
     return items
 
 
-def contaminations(docs: DataFrame, items: DataFrame, percent: int = MAX_EDITS_PERCENT, per_pass: int = ITEMS_PER_PASS) -> DataFrame:
+def contaminations(docs: DataFrame, items: DataFrame, percent: int = MAX_EDITS_PERCENT, per_pass: int = ITEMS_PER_PASS, bytes_per_pass: int = BYTES_PER_PASS) -> DataFrame:
     """row, doc_id, item_id, n_edits, item_words, start_word, end_word: the best stretch of each item in each row of `docs`.
 
     docs: doc_id long, text string; items: item_id long, text string; other columns are ignored. A stretch counts if its
-    edit distance to the item, in normalised words, is at most `percent` of the item's words. `row` is the row's
-    monotonically_increasing_id. Null texts and items without words match nothing; items of under four words only
-    match whole (their bound rounds to no edits); repeated rows match each; equal items each match. Items are taken in
-    blocks of `per_pass`, of bounded size, each with one pass over all documents. Empty tables give an empty result.
+    edit distance to the item, in normalised words, is at most `percent` of the item's words. `row` is the row's id (of
+    `identified`). Null texts and items without words match nothing; items of under four words only match whole (their
+    bound rounds to no edits); items of over 128 words have windows of 128; repeated rows match each; equal items each
+    match. Items are taken in blocks of at most `per_pass` items and `bytes_per_pass` of text (or one item), each with
+    one pass over all documents. Empty tables give an empty result.
     """
+    return _contaminations(identified(docs.select("doc_id", "text"), "row"), items, percent, per_pass, bytes_per_pass)
+
+
+def _contaminations(docs: DataFrame, items: DataFrame, percent: int = MAX_EDITS_PERCENT, per_pass: int = ITEMS_PER_PASS, bytes_per_pass: int = BYTES_PER_PASS) -> DataFrame:
     spark = docs.sparkSession
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    schema = "row long, doc_id long, item_id long, n_edits long, item_words long, start_word long, end_word long"
+    source = docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    schema = f"row {ROW_ID}, " + ", ".join(f"{c} long" for c in _FOUND)
     wanted = items.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text")).filter("item_id is not null")
-    out, block = None, []
+    out, block, size = None, [], 0
 
     def searched(rows):
         found = source.mapInArrow(_found(_shared(spark.sparkContext.broadcast(rows)), percent), schema)
         return found if out is None else out.unionAll(found)
 
     for r in wanted.orderBy("item_id", "text").toLocalIterator():
+        if block and (len(block) == per_pass or size + len(r.text) > bytes_per_pass):
+            out, block, size = searched(block), [], 0
         block.append((r.item_id, r.text))
-        if len(block) == per_pass:
-            out, block = searched(block), []
+        size += len(r.text)
     if block or out is None:
         out = searched(block)
     return out
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` that hold no item."""
-    docs = stable(docs)
-    hit = contaminations(docs, items, **options).select(F.col("row").alias("__hit")).distinct()
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(hit.hint("merge"), F.col("__row") == F.col("__hit"), "left_anti").drop("__row")
+    """The rows of `docs` (doc_id long, text string among them) that hold no item, as `contaminations` finds them.
+
+    Null and empty texts hold nothing and stay; repeated rows stay or go together; items with a null id or text aren't
+    searched for. All columns stay as they are. Empty tables of documents give an empty result, of items all rows.
+    """
+    own = identified(docs, "__row")
+    hit = _contaminations(own.select(F.col("__row").alias("row"), "doc_id", "text"), items, **options).select(F.col("row").alias("__hit")).distinct()
+    return own.join(hit.hint("merge"), F.col("__row") == F.col("__hit"), "left_anti").drop("__row")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,19 +12,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, release, stable, table, text_of, written
+from .common import identified, partitions, release, table, text_of, written
 
-MIN_CHARS = 20
+#: Lines this long are also matched within one edit; shorter ones, where one edit changes much, only if equal.
+NEAR_CHARS = 20
 BLOCK, MOST_BLOCKS = 256, 64
 
 
-def _lines(docs: DataFrame, min_chars: int, short: bool = False) -> DataFrame:
-    """rid, doc_id, pos, line and its 128-bit hash (h1, h2), for lines of at least `min_chars` characters; with
-    `short`, also for shorter ones with a letter or digit."""
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+def _lines(docs: DataFrame) -> DataFrame:
+    """rid, doc_id, pos, line and its 128-bit hash (h1, h2), for lines with a letter or digit, and for any of at least
+    NEAR_CHARS characters. `docs` has rid."""
+    rows = docs.select("rid", F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     lines = rows.select("rid", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    long = F.length("line") >= min_chars
-    lines = lines.filter(long | F.col("line").rlike(r"[\p{L}\p{N}]") if short else long)
+    lines = lines.filter((F.length("line") >= NEAR_CHARS) | F.col("line").rlike(r"[\p{L}\p{N}]"))
     return lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
 
 
@@ -59,9 +59,9 @@ def _block_keys(lines: DataFrame) -> DataFrame:
     return sized.select("h1", "h2", F.explode(keys).alias("k")).select("h1", "h2", "k.*")
 
 
-def near_lines(docs: DataFrame, distinct: DataFrame, min_chars: int) -> DataFrame:
-    """(h1, h2) of distinct lines with an earlier line at edit distance one."""
-    lines = _lines(docs, min_chars)
+def near_lines(docs: DataFrame, distinct: DataFrame, near_chars: int) -> DataFrame:
+    """(h1, h2) of distinct lines of at least `near_chars` characters with an earlier such line at edit distance one."""
+    lines = _lines(docs).filter(F.length("line") >= near_chars)
     keyed = _block_keys(lines.select("line", "h1", "h2")).repartition(partitions(docs.sparkSession), "key").distinct()
     shared = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1").drop("n")
     placed = shared.join(distinct.select("h1", "h2", "first").hint("merge"), ["h1", "h2"])
@@ -93,46 +93,43 @@ def near_lines(docs: DataFrame, distinct: DataFrame, min_chars: int) -> DataFram
     return near
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
-    """rid (of monotonically_increasing_id over `docs`) and the sorted 0-based numbers `removed` of its repeated lines."""
-    lines = _lines(docs, min_chars, short)
+def repeated_lines(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
+    """rid and the sorted 0-based numbers `removed` of the repeated lines of each row of `docs`, which has rid."""
+    lines = _lines(docs)
     distinct = written(
         lines.select("h1", "h2", F.struct("doc_id", "rid", "pos").alias("at")).groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")), "distinct"
     )
-    near = near_lines(docs, distinct, min_chars).withColumn("near", F.lit(True))
+    near = near_lines(docs, distinct, near_chars).withColumn("near", F.lit(True))
     judged = distinct.select("h1", "h2", "first", "n").join(near.hint("merge"), ["h1", "h2"], "left").filter("n > 1 or near").select("h1", "h2", F.col("first.rid").alias("f_rid"), F.col("first.pos").alias("f_pos"), F.coalesce("near", F.lit(False)).alias("near"))
     placed = lines.select("rid", "pos", "h1", "h2").join(judged.hint("merge"), ["h1", "h2"]).filter("near or rid != f_rid or pos != f_pos")
     return placed.groupBy("rid").agg(F.sort_array(F.collect_list("pos")).alias("removed"))
 
 
-def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
-    """All columns of `docs` (doc_id long, text string among them) with text without its repeated lines, n_lines and n_removed.
+def line_dedup(docs: DataFrame, near_chars: int = NEAR_CHARS, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """All columns of `docs` (doc_id long, text string among them) with text without its repeated lines, and `counts`: its
+    lines and those removed.
 
-    Lines are parts of a text between line feeds; those under `min_chars` characters always stay, or with `short`
-    stay unless they have a letter or digit and equal an earlier one. A line goes if it
-    equals an earlier one, or if an earlier distinct line is at edit distance one, whether or not that one stays itself.
-    Lines are ordered by doc_id (null first), then row, then place, so of repeated rows the first keeps its lines. A null
-    text stays null and has one empty line. Texts and lines are taken whole. An empty table gives an empty result.
+    Lines are parts of a text between line feeds. A line goes if it equals an earlier one, whatever its length, or if
+    it has at least `near_chars` characters and an earlier distinct line of at least as many is at edit distance one,
+    whether or not that one stays itself. Lines under NEAR_CHARS characters without a letter or digit (empty ones,
+    rulers) are layout and always stay. Lines are ordered by doc_id (null first), then row, then place, so of repeated
+    rows the first keeps its lines. A null text stays null and has one empty line. Texts and lines are taken whole. An
+    empty table gives an empty result. Columns of `docs` that are named as `counts` are replaced, all others stay.
     """
-    docs = stable(docs)
-    gone = repeated_lines(docs, min_chars, short).withColumnsRenamed({"rid": "__rid", "removed": "__removed"})
-    joined = docs.withColumn("__row", F.monotonically_increasing_id()).join(gone.hint("merge"), F.col("__row") == F.col("__rid"), "left")
+    own = identified(docs, "__row")
+    gone = repeated_lines(own.select(F.col("__row").alias("rid"), "doc_id", "text"), near_chars).withColumnsRenamed({"rid": "__rid", "removed": "__removed"})
+    joined = own.join(gone.hint("merge"), F.col("__row") == F.col("__rid"), "left")
     lines = F.split(text_of(), "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__removed"))
     text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-    return joined.withColumn("n_lines", F.size(lines)).withColumn("n_removed", F.coalesce(F.size("__removed"), F.lit(0))).withColumn("text", text).drop("__row", "__rid", "__removed")
+    return joined.withColumn(counts[0], F.size(lines)).withColumn(counts[1], F.coalesce(F.size("__removed"), F.lit(0))).withColumn("text", text).drop("__row", "__rid", "__removed")
 
 
-def op8_line_dedup(spark: SparkSession, sf_dir: str, short: bool = False) -> DataFrame:
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines, removed lines and their 0-based numbers, joined by commas."""
-    docs = stable(table(spark, sf_dir, "documents"))
-    gone = repeated_lines(docs, short=short).withColumnRenamed("rid", "g_rid")
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.size(F.split(text_of(), "\n", -1)).cast("long").alias("n_lines"))
+    docs = identified(table(spark, sf_dir, "documents").select("doc_id", "text"), "rid")
+    gone = repeated_lines(docs).withColumnRenamed("rid", "g_rid")
+    rows = docs.select("rid", F.col("doc_id").cast("long").alias("doc_id"), F.size(F.split(text_of(), "\n", -1)).cast("long").alias("n_lines"))
     return rows.join(gone.hint("merge"), F.col("rid") == F.col("g_rid"), "left").select(
         "doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed_lines")
     )
-
-
-def op8_line_dedup_short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op8_line_dedup, with equal lines of any length that have a letter or digit."""
-    return op8_line_dedup(spark, sf_dir, short=True)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, partitions, release, table, stable, text_of, written
+from .common import ROW_ID, arrow_batches, identified, partitions, release, table, text_of, written
 from .components import connected_components
 
 WORDS, PERCENT = 4, 85
@@ -147,7 +147,7 @@ def _roots(levels, k: int, percent: int):
             if parts:
                 lengths = np.array([len(p[2]) for p in parts])
                 yield pa.RecordBatch.from_pydict({
-                    "row": pa.nulls(int(lengths.sum()), pa.int64()), "doc_id": pa.nulls(int(lengths.sum()), pa.int64()), "sig": np.repeat(np.array([p[0] for p in parts], np.int64), lengths), "n": np.repeat(np.array([p[1] for p in parts], np.int32), lengths),
+                    "row": pa.nulls(int(lengths.sum()), batch.schema.field("row").type), "doc_id": pa.nulls(int(lengths.sum()), pa.int64()), "sig": np.repeat(np.array([p[0] for p in parts], np.int64), lengths), "n": np.repeat(np.array([p[1] for p in parts], np.int32), lengths),
                     "gram": np.concatenate([p[2] for p in parts]), "pos": np.concatenate([np.arange(x, dtype=np.int32) for x in lengths]),
                 })
 
@@ -355,7 +355,7 @@ class _Join:
 
     def roots(self) -> DataFrame:
         with arrow_batches(self.spark, BATCH):
-            return written(self.source.select("row", "doc_id", "text").mapInArrow(_roots(self.levels, self.k, self.percent), "row long, doc_id long, sig long, n int, gram long, pos int"), "roots")
+            return written(self.source.select("row", "doc_id", "text").mapInArrow(_roots(self.levels, self.k, self.percent), f"row {ROW_ID}, doc_id long, sig long, n int, gram long, pos int"), "roots")
 
     def met(self, roots: DataFrame) -> DataFrame:
         dealt = roots.filter("gram is not null").select("gram", "pos", "n", "sig").repartition(partitions(self.spark), "gram").sortWithinPartitions("gram", "pos", "n", "sig")
@@ -380,13 +380,17 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     """doc_id, n_shingles, component_id, class_id, row, first for every row of `docs` (doc_id long, text string; others are ignored).
 
     Rows are linked when 100 * common grams >= percent * grams of either. component_id is the least doc_id reachable by
-    links; class_id the least doc_id with the same set; row is the row's monotonically_increasing_id, and first marks
+    links; class_id the least doc_id with the same set; row is the row's id (of `identified`), and first marks
     one row of each component: that of the least doc_id, of equal ones the first row, a null id last. A null text counts as empty; rows without words have no grams
     and are linked with nothing. Rows with a null id keep their own row, and take part in links; an id comes from the
     rows that have one, and is null where none has. Repeated rows are equal sets. Texts are taken whole. An empty table
     gives an empty result.
     """
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    return _components(identified(docs.select("doc_id", "text"), "row"), words, percent)
+
+
+def _components(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    source = docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     join = _Join(source, words, percent)
     roots = join.roots()
     classes = written(roots.filter("gram is null").select("row", "doc_id", "sig", "n"), "classes")
@@ -426,10 +430,15 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs`, one of each component; rows without words all stay."""
-    docs = stable(docs)
-    kept = ngram_components(docs, words, percent).filter("first").select(F.col("row").alias("__kept"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept.hint("merge"), F.col("__row") == F.col("__kept"), "left_semi").drop("__row")
+    """The rows of `docs` (doc_id long, text string among them), one of each component of `ngram_components`.
+
+    It is that of the least doc_id, of equal ones the first row, a null id last; so of repeated rows one stays. Rows
+    without words (null and empty texts among them) are linked with nothing and all stay. All columns stay as they are.
+    An empty table gives an empty result.
+    """
+    own = identified(docs, "__row")
+    kept = _components(own.select(F.col("__row").alias("row"), "doc_id", "text"), words, percent).filter("first").select(F.col("row").alias("__kept"))
+    return own.join(kept.hint("merge"), F.col("__row") == F.col("__kept"), "left_semi").drop("__row")
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,9 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, table
+from .common import identified, scratch_path, table, written
 
 END = "\r\n\r\n"
+#: Classes of payload size: the most bytes of a payload, and captures of an archive.
+ARCHIVES = ((8 << 10, 20_000), (64 << 10, 2_500), (1 << 20, 160), (64 << 20, 2), (None, 1))
 RECORD = "record_id string, type string, concurrent_to string, target_uri string, date string, refers_to string, payload_digest string, payload_bytes long, fields map<string,string>, payload binary"
 
 
@@ -44,26 +46,27 @@ def _record(headers: list[tuple[str, Column]], block: Column) -> Column:
 
 def capture_records(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", min_payload: int = 0) -> DataFrame:
     """One row `value` per record of `pages` (page_id long, url string, html string)."""
-    source = pages.select(
+    source = identified(pages.select("page_id", "url", "html"), "row").select(
         F.col("page_id").cast("long").cast("string").alias("page"),
         F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")))), r"[\r\n]", "%0A").alias("uri"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
         F.col("page_id").cast("long").alias("page_id"),
-        F.monotonically_increasing_id().alias("row"),
+        "row",
+        F.concat_ws(".", "row.file", "row.place").alias("place"),
     ).withColumn("digest", base32_sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html"))
     long_enough = source.filter(F.col("size") >= min_payload)
-    groups = long_enough.groupBy(F.col("digest").alias("g_digest"), F.col("size").alias("g_size")).agg(F.max(F.struct("page_id", "row")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("g_digest", "g_size", "first")
+    groups = long_enough.groupBy(F.col("digest").alias("g_digest"), F.col("size").alias("g_size")).agg(F.max(F.struct("page_id", "row", "place")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("g_digest", "g_size", "first")
     # Groups of copies grow with the corpus: a merge join, whose skewed side Spark splits.
     placed = source.join(groups.hint("merge"), (F.col("digest") == F.col("g_digest")) & (F.col("size") == F.col("g_size")), "left")
     revisit = F.col("first").isNotNull() & (F.col("first.row") != F.col("row"))
-    own = _urn(F.col("page"), F.col("digest"), F.col("row").cast("string"))
-    other = F.when(revisit, _urn(F.col("first.page_id").cast("string"), F.col("digest"), F.col("first.row").cast("string")))
+    own = _urn(F.col("page"), F.col("digest"), F.col("place"))
+    other = F.when(revisit, _urn(F.col("first.page_id").cast("string"), F.col("digest"), F.col("first.place")))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit(END))
     common = [("WARC-Target-URI", F.col("uri")), ("WARC-Date", F.lit(date))]
     capture = _record(
         [("WARC-Type", F.when(revisit, "revisit").otherwise("response")), ("WARC-Record-ID", F.col("own")), *common,
          ("WARC-Profile", F.when(revisit, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), ("WARC-Refers-To", F.col("other")),
-         ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))), ("X-Payload-Length", F.when(revisit, F.col("size").cast("string"))),
+         ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
          ("Content-Type", F.lit("application/http; msgtype=response"))],
         F.when(revisit, http).otherwise(F.concat(http, F.col("html"))),
     )
@@ -73,56 +76,79 @@ def capture_records(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", min_pa
     )
     metadata = _record(
         [("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", _urn(F.lit("metadata"), F.col("own"))), *common, ("WARC-Concurrent-To", F.col("own")), ("Content-Type", F.lit("application/warc-fields"))],
-        F.concat(F.lit("page-id: "), F.coalesce("page", F.lit("")), F.lit("\r\nrefers-to-page: "), F.when(revisit, F.coalesce(F.col("first.page_id").cast("string"), F.lit(""))).otherwise(""), F.lit("\r\n")),
+        F.concat(F.lit("page-id: "), F.coalesce("page", F.lit("")), F.lit("\r\n")),
     )
     return placed.withColumn("own", own).withColumn("other", other).select(F.explode(F.array(request, capture, metadata)).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, captures_per_file: int = 20_000, **options) -> None:
-    """Write gzipped archives of `pages` under `path` (any file system Spark writes to)."""
+def write_archives(pages: DataFrame, path: str, **options) -> None:
+    """Write gzipped archives of `pages` under `path` (any file system Spark writes to).
+
+    An archive holds so many captures that their payloads are at most some 160 MB, or one larger payload: pages are
+    written by classes of payload size, each with a number of records a file; payloads that are equal share a class.
+    """
     spark = pages.sparkSession
+    size = F.coalesce(F.octet_length(F.col("html").cast("string")), F.lit(0))
     head = spark.createDataFrame([], "value string")
-    writer = head.unionAll(capture_records(pages, **options)).write.option("lineSep", END).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
-    writer.option("maxRecordsPerFile", 3 * captures_per_file).text(path)
+    present = {r[0] for r in pages.groupBy(_size_class(size).alias("c")).count().select("c").collect()}  # as many rows as classes
+    for c, (_, captures) in enumerate(ARCHIVES):
+        if c in present or not c:
+            writer = head.unionAll(capture_records(pages.filter(_size_class(size) == c), **options)).write.option("lineSep", END).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
+            writer.option("maxRecordsPerFile", 3 * captures).text(f"{path}/size-{c}")
+
+
+def _size_class(size: Column) -> Column:
+    out = F.lit(len(ARCHIVES) - 1)
+    for c, (most, _) in reversed(list(enumerate(ARCHIVES[:-1]))):
+        out = F.when(size <= most, c).otherwise(out)
+    return out
 
 
 class _Bytes:
-    """Reads of exact lengths and of header lines from the inflated bytes of an archive."""
+    """Reads of exact lengths and of header lines from the inflated bytes of an archive, of which a block is held at a time."""
 
-    def __init__(self, packed: bytes):
-        self.packed, self.at, self.ready = packed, 0, b""
+    def __init__(self, packed: bytes, block: int = 1 << 20):
+        self.packed, self.at, self.block = packed, 0, block
+        self.ready, self.pos = b"", 0
         self.inflate = zlib.decompressobj(wbits=47)
 
     def more(self) -> bool:
+        """Another block after what is ready; False at the end."""
         while True:
             if self.inflate.eof:
-                rest = self.inflate.unused_data + self.packed[self.at :]
-                if not rest.strip(b"\0"):
+                self.at -= len(self.inflate.unused_data)
+                if not self.packed[self.at : self.at + 4096].strip(b"\0"):
                     return False
-                self.packed, self.at, self.inflate = rest, 0, zlib.decompressobj(wbits=47)
-            if self.at >= len(self.packed):
-                return False
-            out = self.inflate.decompress(self.packed[self.at : self.at + (1 << 20)])
-            self.at += 1 << 20
-            if out:
-                self.ready += out
+                self.inflate = zlib.decompressobj(wbits=47)
+            fed = self.inflate.unconsumed_tail
+            if not fed:
+                fed = self.packed[self.at : self.at + self.block]
+                self.at += len(fed)
+                if not fed:
+                    return False
+            if out := self.inflate.decompress(fed, self.block):
+                self.ready, self.pos = self.ready[self.pos :] + out, 0
                 return True
 
     def take(self, n: int) -> bytes:
-        while len(self.ready) < n and self.more():
-            pass
-        if len(self.ready) < n:
-            raise ValueError("the archive ends within a record")
-        out, self.ready = self.ready[:n], self.ready[n:]
-        return out
+        parts = []
+        while n > len(self.ready) - self.pos:
+            parts.append(self.ready[self.pos :])
+            n -= len(parts[-1])
+            self.ready, self.pos = b"", 0
+            if not self.more():
+                raise ValueError("the archive ends within a record")
+        self.pos += n
+        parts.append(self.ready[self.pos - n : self.pos])
+        return b"".join(parts) if len(parts) > 1 else parts[0]
 
     def head(self) -> bytes | None:
-        while (cut := self.ready.find(b"\r\n\r\n")) < 0:
+        while (cut := self.ready.find(b"\r\n\r\n", self.pos)) < 0:
             if not self.more():
-                if self.ready.strip():
+                if self.ready[self.pos :].strip():
                     raise ValueError("the archive ends within a header")
                 return None
-        return self.take(cut + 4)[:-4]
+        return self.take(cut + 4 - self.pos)[:-4]
 
 
 def records_of(packed: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -153,7 +179,7 @@ def _parse(with_payload: bool):
                     if kind == "response":
                         digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
                     elif kind == "revisit":
-                        size = int(f.get("x-payload-length", size))
+                        size = None  # the payload is in the record that this one refers to
                     named = [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in block.decode("utf-8", "replace").split("\r\n")) if k] if kind == "metadata" else None
                     rows.append((f["warc-record-id"], kind, f.get("warc-concurrent-to"), f.get("warc-target-uri"), f.get("warc-date"), f.get("warc-refers-to"), digest, size, named, payload if with_payload and kind != "metadata" else None))
                     held += len(payload) * with_payload + 500
@@ -167,8 +193,9 @@ def _parse(with_payload: bool):
 
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """All records of the archives under `path`, one row each; the digest and length of a response are taken from its payload."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    """All records of the archives under `path`, one row each; the digest and length of a response are taken from its
+    payload. A revisit has no payload of its own, so no length."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(path).select("content")
     return files.mapInArrow(_parse(with_payload), RECORD)
 
 
@@ -197,12 +224,15 @@ def warc_round_trip(pages: DataFrame, path: str, min_payload: int = 0, with_payl
     empty result. Columns besides page_id, url and html are ignored.
     """
     write_archives(pages, path, min_payload=min_payload)
-    captures = assemble(read_archives(pages.sparkSession, path, with_payload))
-    said = F.col("metadata")[0]["fields"]
-    number = lambda name: F.expr(f"try_cast(nullif(metadata[0].fields['{name}'], '') as bigint)")
-    return captures.filter(said.isNotNull()).select(
-        number("page-id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), number("refers-to-page").alias("refers_to")
-    )
+    page = F.expr("try_cast(nullif(metadata[0].fields['page-id'], '') as bigint)")
+    assembled = assemble(read_archives(pages.sparkSession, path, with_payload)).filter("metadata[0] is not null")
+    # Without payloads a capture is a short row, so the join of revisits with what they refer to is cheap.
+    captures = written(assembled.select("capture_id", "type", "refers_to", "payload_digest", "payload_bytes", page.alias("page_id")), "captures")
+    out = ["page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type")]
+    responses = captures.filter("type = 'response'")
+    referred = responses.select(F.col("capture_id").alias("r_id"), F.col("page_id").alias("r_page"), F.col("payload_bytes").alias("r_bytes"))
+    revisits = captures.filter("type = 'revisit'").join(referred.hint("merge"), F.col("refers_to") == F.col("r_id"), "left")
+    return responses.select(*out, F.lit(None).cast("long").alias("refers_to")).unionAll(revisits.withColumn("payload_bytes", F.col("r_bytes")).select(*out, F.col("r_page").alias("refers_to")))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ def clashing(df):
     """Extra columns whose names operators are likely to use themselves."""
     from pyspark.sql import functions as F
 
-    return df.withColumns({c: F.lit(i) for i, c in enumerate(["row", "n", "key", "words", "line", "score", "n_tokens", "curve", "tie", "sig", "h", "token", "part", "t_id", "trusted", "item_id"])})
+    return df.withColumns({c: F.lit(i) for i, c in enumerate(["row", "n", "key", "words", "line", "score", "n_tokens", "curve", "tie", "sig", "h", "token", "part", "t_id", "trusted", "item_id", "rid", "file", "place", "quality_score", "n_lines", "n_removed", "n_pii", "pii", "_metadata"])})
 
 
 def empty(spark):

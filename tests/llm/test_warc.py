@@ -65,3 +65,18 @@ def test_against_sql(spark, small):
     result = con.execute(ORACLE)
     names = [d[0] for d in result.description]
     assert Counter(map(tuple, op6_warc(spark, small).select(*names).collect())) == Counter(result.fetchall())
+
+
+def test_archives_by_payload_size(spark, monkeypatch):
+    """Few captures an archive, several classes of size, equal payloads in one class, and an inflater that holds little."""
+    from lumenlog.llm import warc
+
+    monkeypatch.setattr(warc, "ARCHIVES", ((10, 2), (1000, 1), (None, 1)))
+    pages = spark.createDataFrame(ROWS, "page_id long, url string, html string")
+    assert Counter(map(tuple, warc_round_trip(pages, scratch_path(spark, "t")).collect())) == brute(ROWS)
+    record = b"WARC/1.0\r\nWARC-Type: metadata\r\nWARC-Record-ID: <urn:x>\r\nContent-Length: 100000\r\n\r\n" + b"y" * 100_000 + b"\r\n\r\n"
+    stream = warc._Bytes(gzip.compress(record) + gzip.compress(record) + b"\0" * 700, block=13)
+    for _ in range(2):
+        assert stream.head().startswith(b"WARC/1.0")
+        assert stream.take(100_000) == b"y" * 100_000 and stream.take(4) == b"\r\n\r\n"
+    assert stream.head() is None
