@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, table, text_of
+from .common import partitions, release, table, text_of, written
 
 MARK = "▁"
 HOT_MAX_CHARS = 64
@@ -156,12 +156,17 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, hot_pretok
     check_model(model_path)
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    frequent = (
-        source.select("text").mapInArrow(_frequent(hot_pretokens // 4), "pretoken string, n long")
-        .groupBy("pretoken").agg(F.sum("n").alias("n")).filter("n > 1")
-        .orderBy(F.desc("n"), "pretoken").limit(hot_pretokens)
-    )
-    words = [r[0] for r in frequent.select("pretoken").collect()]  # at most hot_pretokens of at most HOT_MAX_CHARS
+    frequent = written(source.select("text").mapInArrow(_frequent(hot_pretokens // 4), "pretoken string, n long").groupBy("pretoken").agg(F.sum("n").alias("n")).filter("n > 1"), "frequent")
+    # The least count that at most hot_pretokens reach, from a histogram of some hundred levels; only those are collected.
+    level = F.floor(8 * F.log2("n")).cast("int")
+    reached, floor = 0, None
+    for r in frequent.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        reached += r["count"]
+        if reached > hot_pretokens:
+            break
+        floor = r["level"]
+    words = [] if floor is None else [r[0] for r in frequent.filter(level >= floor).select("pretoken").collect()]
+    release(frequent)
     sp = processor(model_path)
     hot = spark.sparkContext.broadcast({w: len(x) for w, x in zip(words, sp.encode(words, num_threads=1))} if words else {})
     flat = source.mapInArrow(_per_document(hot), "row long, doc_id long, n_bytes long, n_tokens long, pretoken string, freq long")
