@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from .common import table, text_of
 
 PASSAGE, BITS, WIDTH, GATE, RATES = 64, 13, 24, 12, 8
-#: Documented bounds of the training sample: labelled documents, and evenly spaced passages of each.
-SAMPLE, SAMPLE_PASSAGES = 3000, 24
+#: Documented bound of the training sample: labelled documents. Every passage of theirs is learned from.
+SAMPLE = 3000
+#: Passages whose words are looked up at a time.
+STEP = 2048
 BLOCK_WORDS = PASSAGE * 2048
 _KIND = np.full(256, 5, np.uint8)  # 0 space, 1 upper, 2 lower, 3 digit, 4 end of sentence, 5 beyond ASCII, 6 other
 _KIND[:128] = 6
@@ -48,6 +50,13 @@ def passages(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes >> np.uint32(32 - BITS), first, rates
 
 
+def _steps(bounds: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(first passage, last, first word, last) of runs of STEP passages."""
+    for a in range(0, len(bounds) - 1, STEP):
+        b = min(a + STEP, len(bounds) - 1)
+        yield a, b, int(bounds[a]), int(bounds[b])
+
+
 class Model:
     """Weights of the encoder, the gated attention and the output."""
 
@@ -62,8 +71,12 @@ class Model:
     def encode(self, buckets, first, rates):
         """Passage representations and their unnormalised attention."""
         w = self.w
-        n = np.diff(np.append(first, len(buckets)))
-        mean = np.add.reduceat(w["words"][buckets], first, axis=0) / n[:, None]
+        bounds = np.append(first, len(buckets))
+        n = np.diff(bounds)
+        mean = np.empty((len(first), WIDTH))
+        for a, b, lo, hi in _steps(bounds):
+            mean[a:b] = np.add.reduceat(w["words"][buckets[lo:hi]], first[a:b] - lo, axis=0)
+        mean /= n[:, None]
         h = np.tanh(mean + rates @ w["rates"] + w["bias"])
         v, u = np.tanh(h @ w["tanh"]), 1 / (1 + np.exp(-(h @ w["gate"])))
         return h, v, u, (v * u) @ w["attend"], n
@@ -101,7 +114,8 @@ class Model:
         dv, du = ds[:, None] * w["attend"] * u * (1 - v * v), ds[:, None] * w["attend"] * v * u * (1 - u)
         dpre = (a[:, None] * dz + dv @ w["tanh"].T + du @ w["gate"].T) * (1 - h * h)
         dwords = np.zeros_like(w["words"])
-        np.add.at(dwords, buckets, np.repeat(dpre / n[:, None], n, axis=0))
+        for i, j, lo, hi in _steps(np.append(first, len(buckets))):
+            np.add.at(dwords, buckets[lo:hi], np.repeat(dpre[i:j] / n[i:j, None], n[i:j], axis=0))
         return {"words": dwords, "rates": rates.T @ dpre, "bias": dpre.sum(0), "tanh": h.T @ dv, "gate": h.T @ du, "attend": (v * u).T @ ds, "out": z.T @ d, "base": np.array([d.sum()])}
 
     def fit(self, bags, labels, epochs: int = 6, batch: int = 32, rate: float = 0.01, seed: int = 11) -> Model:
@@ -136,9 +150,6 @@ def _training_rows(it: Iterator[pa.RecordBatch]):
         out = {"buckets": [], "first": [], "rates": []}
         for cell in batch.column("text"):
             words = cell.as_py().encode().split()
-            n = -(-len(words) // PASSAGE)
-            if n > SAMPLE_PASSAGES:
-                words = [w for k in range(SAMPLE_PASSAGES) for w in words[PASSAGE * (k * n // SAMPLE_PASSAGES) :][:PASSAGE]]
             b, f, r = passages(words) if words else (np.zeros(0, int), np.zeros(0, int), np.zeros((0, RATES)))
             out["buckets"].append(b.astype("<u2").tobytes()), out["first"].append(f.astype("<i4").tobytes()), out["rates"].append(r.astype("<f4").tobytes())
         yield pa.RecordBatch.from_pydict({"label": batch.column("label"), "h": batch.column("h"), **{k: pa.array(v, pa.binary()) for k, v in out.items()}})
@@ -176,15 +187,15 @@ def score_column(spark: SparkSession, model: Model, text: Column) -> Column:
     return score(text)
 
 
-def quality_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """All columns of `docs` (doc_id long, text string among them) with `quality_score`, for every row.
+def quality_classifier(docs: DataFrame, labels: DataFrame, score: str = "quality_score") -> DataFrame:
+    """All columns of `docs` (doc_id long, text string among them) with the column `score`, for every row.
 
     Labels (doc_id, quality 0 or 1) with a null id or label are left out; of repeated ids the lower label counts. A null
     text counts as empty; texts without words all get the same low score. With labels of one kind or none, every text
     gets their share (one half without labels). Rows with null or repeated ids are scored like any other. Texts are
-    taken whole. An empty table gives an empty result.
+    taken whole. An empty table gives an empty result. A column of `docs` that is named as `score` is replaced.
     """
-    return docs.withColumn("quality_score", score_column(docs.sparkSession, train(docs, labels), text_of()))
+    return docs.withColumn(score, score_column(docs.sparkSession, train(docs, labels), text_of()))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

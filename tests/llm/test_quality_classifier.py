@@ -62,3 +62,26 @@ def test_awkward_rows(spark):
     assert len(scores) == len(rows) and all(0 <= s <= 1 for s in scores)
     assert quality_classifier(empty(spark), labels).collect() == []
     assert {r.quality_score for r in quality_classifier(df, labels.limit(0)).select("quality_score").collect()} <= {0.5, 0.25}
+
+
+def test_every_passage_is_learned_from(spark):
+    """The only difference stands far into long texts, behind dozens of equal passages."""
+    filler = " ".join(f"word{i % 50}" for i in range(64))
+    rows = [(i, " ".join([filler] * 40 + [("splendid prose " if i % 2 else "dreadful junk ") * 32] + [filler] * 3)) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")
+    scores = {r.doc_id: r.quality_score for r in quality_classifier(docs, labels).collect() if zlib.crc32(str(r.doc_id).encode()) % 3 == 1}
+    assert len(scores) > 20 and all((s >= 0.5) == (d % 2 == 1) for d, s in scores.items())
+
+
+def test_steps_of_passages_are_one(monkeypatch):
+    """Lookups and gradients in steps of a few passages equal those in one."""
+    from lumenlog.llm import quality_classifier as q
+
+    r = np.random.default_rng(3)
+    bags = [passages([bytes(r.integers(97, 123, 2, dtype=np.uint8)) for _ in range(n)]) for n in (1, 64, 65, 1000)]
+    labels = np.array([1.0, 0.0, 1.0, 0.0])
+    whole = Model().step(bags, labels)
+    monkeypatch.setattr(q, "STEP", 3)
+    for name, g in Model().step(bags, labels).items():
+        assert np.allclose(g, whole[name], atol=1e-12), name
