@@ -22,6 +22,8 @@ SYMBOLS = b"#*$%&|<>"
 _SPACES = b" \t\n\x0b\x0c\r"
 THRESHOLD = -0.25
 BUCKETS = 1 << 16
+#: Most ids of target documents that are sent to every executor (8 bytes each).
+BROADCAST_IDS = 500_000
 SMOOTHING = 2.0
 
 
@@ -125,12 +127,13 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESH
     `trusted` holds the doc_id of target documents; null and repeated ids there count once or not at all. A null text has
     no words: it fails the base rules and scores 0. Rows with a null or repeated doc_id each give their own row. Without
     target documents every score is 0. An empty table gives an empty result. `buckets` is a power of two; the table of
-    log ratios (8 bytes a bucket) is all that is broadcast.
+    log ratios (8 bytes a bucket) is broadcast, and target ids while they are at most BROADCAST_IDS.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     marks = trusted.select(F.col("doc_id").cast("long").alias("t_id")).filter("t_id is not null").distinct().withColumn("t", F.lit(True))
-    # A merge join at every size: `trusted` grows with the corpus, so it is never broadcast.
-    flagged = source.join(marks.hint("merge"), F.col("doc_id") == F.col("t_id"), "left").select("text", F.coalesce("t", F.lit(False)).alias("trusted"))
+    # `trusted` grows with the corpus: it is a broadcast only while it has few ids; beyond, texts are dealt out by id.
+    few = marks.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    flagged = source.join(F.broadcast(marks) if few else marks.hint("merge"), F.col("doc_id") == F.col("t_id"), "left").select("text", F.coalesce("t", F.lit(False)).alias("trusted"))
     ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(flagged, buckets))
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double"
     return source.mapInArrow(_judging(ratios, threshold, buckets), schema)

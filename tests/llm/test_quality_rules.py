@@ -1,3 +1,4 @@
+import math
 import re
 from collections import Counter
 
@@ -49,3 +50,27 @@ def test_awkward_rows(spark):
     assert Counter(tuple(r)[:7] for r in got) == Counter(brute(r[0], r[1]) for r in rows)
     assert quality_rules(empty(spark), trusted).collect() == []
     assert all(r.score == 0 for r in quality_rules(df, trusted.limit(0)).collect())
+
+
+def brute_scores(docs, trusted):
+    """Score of each text: mean log ratio of the smoothed counts of its n-gram buckets, over dictionaries."""
+    from lumenlog.llm.quality_rules import BUCKETS, SMOOTHING, ngram_buckets
+
+    grams = [[int(b) for b in ngram_buckets((t or "").encode().split(), BUCKETS)] if (t or "").split() else [] for _, t in docs]
+    raw = Counter(b for g in grams for b in g)
+    target = Counter(b for (d, _), g in zip(docs, grams) if d in trusted for b in g)
+    share = sum(target.values()) / sum(raw.values())
+    return [sum(math.log((target[b] + SMOOTHING) / (raw[b] * share + SMOOTHING)) for b in g) / len(g) if g else 0.0 for g in grams]
+
+
+def test_scores_and_verdicts_of_all_documents(spark, small, monkeypatch):
+    from lumenlog.llm import quality_rules as q
+
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    trusted = {r.doc_id for r in spark.read.parquet(f"{small}/labels.parquet").collect() if r.quality == 1}
+    want = {d: (s, not brute(d, t)[6] and s >= q.THRESHOLD) for (d, t), s in zip(docs, brute_scores(docs, trusted))}
+    for most in (q.BROADCAST_IDS, 0):  # target ids as a broadcast, and dealt out
+        monkeypatch.setattr(q, "BROADCAST_IDS", most)
+        for r in op2_quality_rules(spark, small).collect():
+            score, kept = want[r.doc_id]
+            assert abs(r.score - score) < 1e-9 and (r.kept == kept or abs(score - q.THRESHOLD) < 1e-9)
