@@ -60,7 +60,12 @@ class TextTokenizer:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
+        before, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        if spec.get("normalizer") or model.get("type", "BPE") != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+            raise ValueError("not a byte-level BPE file with the usual pre-tokenizer and no normalizer")
+        if any(model.get(flag) for flag in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+            raise ValueError("the model's options change its ids")
+        vocab, merges = model["vocab"], model["merges"]
         special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
         if any(t.get(flag) for t in spec.get("added_tokens", ()) for flag in ("single_word", "lstrip", "rstrip")):
             raise ValueError("added tokens look at what is around them")
@@ -85,14 +90,14 @@ class TextTokenizer:
                 _tokenizers[path] = cls(path)
             return _tokenizers[path]
 
-    def ids(self, text: str, added_tokens: bool = False) -> Iterator[bytes]:
+    def ids(self, text: str, added_tokens: bool = True) -> Iterator[bytes]:
         """Blocks of ids of a whole text; added tokens in it have ids of their own, or count as ordinary text."""
         if added_tokens and self.cut:
             for i, part in enumerate(self.cut.split(text)):
                 if i % 2:
                     yield self.added[part]
                 else:
-                    yield from self.ids(part)
+                    yield from self.ids(part, False)
             return
         if not text:
             return
@@ -211,15 +216,14 @@ def _packing(path: str, length: int, with_ids: bool, added_tokens: bool):
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, length: int = SEQUENCE, with_ids: bool = True, added_tokens: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, length: int = SEQUENCE, with_ids: bool = True, added_tokens: bool = True) -> DataFrame:
     """Pieces of all rows of `docs` (doc_id long, text string; other columns are ignored) in sequences of `length` tokens.
 
     A row's ids are its text's, then END_ID; a null text counts as empty and gives the one id. Rows with a null or
     repeated doc_id are packed like others, equal rows one after the other. Texts are taken whole. Equal keys are dealt
     out by doc_id and a hash of the row, so a large group of copies is spread over partitions. An empty table gives an
-    empty result. With `with_ids`, each piece also carries its ids. With `added_tokens`, the file's added tokens in a
-    text have their own ids, as with the library's defaults; without, they count as ordinary text (its
-    encode_special_tokens).
+    empty result. With `with_ids`, each piece also carries its ids. The file's added tokens in a text have their own ids,
+    as with the library's defaults; without `added_tokens` they count as ordinary text (its encode_special_tokens).
     """
     key = F.pandas_udf(_key, "long")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
@@ -233,4 +237,4 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = SEQUENCE, with_ids:
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False, added_tokens=True)
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)

@@ -1,8 +1,10 @@
+import functools
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -12,14 +14,15 @@ from lumenlog.llm.token_counts import op3_token_counts, pretokens, processor, to
 from .fixtures import awkward, clashing, empty
 
 BPE, PIECE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
-TEXTS = st.text(st.one_of(st.sampled_from(" ▁\n\t'aeé1,."), st.characters(exclude_categories=["Cs"])), max_size=60)
+MARK = "<|endoftext|>"
+TEXTS = st.lists(st.one_of(st.sampled_from([MARK, MARK[:-1], " ", "\n"]), st.text(st.one_of(st.sampled_from(" ▁\n\t'aeé1,."), st.characters(exclude_categories=["Cs"])), max_size=30)), max_size=5).map("".join)
 
 
+@functools.cache
 def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
+    t = Tokenizer.from_file(BPE)  # with its defaults, as the contract says
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -125,8 +128,35 @@ def test_added_tokens_are_the_librarys(spark, tmp_path):
     texts = [f"a {mark} b", mark, mark * 3, f"{mark} x", f"x{mark}", f"one two{mark} \n three  {mark}four", f"<|endoftext{mark}|>", "none here", f"é{mark}🙂 " * 50, ""]
     t = Tokenizer.from_file(BPE)
     want = [t.encode(x, add_special_tokens=False).ids for x in texts]
-    assert [np.frombuffer(b"".join(TextTokenizer.load(BPE).ids(x, added_tokens=True)), "<u4").tolist() for x in texts] == want
+    assert [np.frombuffer(b"".join(TextTokenizer.load(BPE).ids(x)), "<u4").tolist() for x in texts] == want
     assert want[0] == [64, 220, 50256, 275]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     total = {p.doc_id: p.doc_tokens for p in op1_packing(spark, str(tmp_path)).collect()}
     assert total == {i: len(x) + 1 for i, x in enumerate(want)}
+
+
+def test_texts_beyond_a_block(spark):
+    """Texts of over 2 MB are encoded block by block."""
+    words = ["alpha", "beta's", "(gamma)", "12345", "é🙂", "delta,"]
+    texts = [" ".join(words[(i * i + i // 7) % 6] for i in range(n)) for n in (400_000, 450_001)]
+    texts.append(texts[0][:1_500_000] + MARK + texts[1])
+    encode = library()
+    assert max(map(len, texts)) > 1 << 21
+    for text in texts:
+        assert np.frombuffer(b"".join(TextTokenizer.load(BPE).ids(text)), "<u4").tolist() == encode(text)
+    want = np.array([*encode(texts[0]), END_ID], "<u4")
+    pieces = pack(spark.createDataFrame([(0, texts[0])], "doc_id long, text string"), BPE, with_ids=False).collect()
+    assert sum(p.length for p in pieces) == len(want) and all(p.doc_tokens == len(want) for p in pieces)
+    assert all(zlib.crc32(want[p.start : p.start + p.length]) == p.ids_crc32 for p in pieces)
+
+
+def test_other_tokenizer_files_are_refused(tmp_path):
+    import json
+
+    spec = json.load(open(BPE, encoding="utf-8"))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": None}, {"pre_tokenizer": {**spec["pre_tokenizer"], "add_prefix_space": True}}, {"added_tokens": [{**spec["added_tokens"][0], "lstrip": True}]}):
+        path = f"{tmp_path}/t.json"
+        with open(path, "w", encoding="utf-8") as f:
+            json.dump(spec | change, f)
+        with pytest.raises(ValueError):
+            TextTokenizer(path)
