@@ -43,14 +43,14 @@ def _parts(text: Column, rank: int, kind: str, pattern: str) -> Column:
     return F.when(F.size(found) > 0, made)
 
 
-def secret_spans(docs: DataFrame, scope: int = SCOPE, by_gap: bool = False) -> DataFrame:
+def secret_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked for every row of `docs` (doc_id long, text string).
 
     A null text counts as empty: no spans, the hash of the empty string. Rows with null or repeated ids each give their
     own row. Positions are code points of the whole text. Matches of a kind don't overlap; those of different kinds may,
     but a weak candidate that overlaps a strong span is part of it and isn't reported. An empty table gives an empty
-    result. Other columns are ignored. With `by_gap`, parts are linked if at most `scope` characters lie between the end
-    of the one and the start of the other; without, if their starts are that near.
+    result. Other columns are ignored. Parts are linked if at most `scope` characters lie between the end of the one and
+    the start of the other.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("rid", F.monotonically_increasing_id())
     none = F.array(F.struct(F.lit(-1).alias("kind"), F.lit(0).alias("i"), F.lit(0).cast("long").alias("gap"), F.lit(0).cast("long").alias("length"), F.lit(True).alias("keep")))
@@ -60,14 +60,11 @@ def secret_spans(docs: DataFrame, scope: int = SCOPE, by_gap: bool = False) -> D
     dealt = rows.repartition(partitions(docs.sparkSession), "rid")  # one exchange serves the windows and the groups
     in_kind = Window.partitionBy("rid", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     placed = dealt.withColumn("end", F.sum(F.col("gap") + F.col("length")).over(in_kind)).withColumn("start", F.col("end") - F.col("length")).filter("keep")
-    near = Window.partitionBy("rid").orderBy("start").rangeBetween(-scope, scope)
     order = Window.partitionBy("rid").orderBy("start", "kind")
     before, after = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
 
     def has(*kinds: str) -> Column:
         of = F.col("kind").isin(*[RANK[k] for k in kinds])
-        if not by_gap:
-            return F.max(of).over(near)
         ended, begins = F.max(F.when(of, F.col("end"))).over(before), F.min(F.when(of, F.col("start"))).over(after)
         return F.coalesce(ended >= F.col("start") - scope, F.lit(False)) | F.coalesce(begins <= F.col("end") + scope, F.lit(False))
 
@@ -96,4 +93,4 @@ def secret_spans(docs: DataFrame, scope: int = SCOPE, by_gap: bool = False) -> D
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_spans(table(spark, sf_dir, "documents"), by_gap=True)
+    return secret_spans(table(spark, sf_dir, "documents"))

@@ -23,12 +23,13 @@ ORDER = [k for k, _, _ in KINDS]
 
 
 def brute(doc_id, text):
+    """Strong spans, and weak ones with at most SCOPE characters between them and what they need."""
     text = text or ""
     spans = [(m.start(), i, m.end()) for i, k in enumerate(ORDER) for m in BASE[k][0].finditer(text) if BASE[k][1](m)]
     strong = [s for s in spans if s[1] <= 2]
 
     def near(s, *kinds):
-        return any(ORDER[o[1]] in kinds and abs(o[0] - s[0]) <= SCOPE for o in spans)
+        return any(ORDER[o[1]] in kinds and max(o[0] - s[2], s[0] - o[2]) <= SCOPE for o in spans)
 
     kept = list(strong)
     for s in spans:
@@ -85,24 +86,6 @@ def test_plan_is_native(spark, small):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
-def brute_by_gap(text):
-    """Strong spans, and weak ones with at most SCOPE characters between them and what they need."""
-    spans = [(m.start(), i, m.end()) for i, k in enumerate(ORDER) for m in BASE[k][0].finditer(text) if BASE[k][1](m)]
-    strong = [s for s in spans if s[1] <= 2]
-
-    def near(s, *kinds):
-        return any(ORDER[o[1]] in kinds and max(o[0] - s[2], s[0] - o[2]) <= SCOPE for o in spans)
-
-    kept = list(strong)
-    for s in spans:
-        if s[1] <= 2 or any(o[0] < s[2] and s[0] < o[2] for o in strong):
-            continue
-        secret, ident = near(s, "assign", "hex", "candidate"), near(s, "access", "identifier")
-        if {"identifier": secret, "candidate": ident, "endpoint": secret and ident}[ORDER[s[1]]]:
-            kept.append(s)
-    return ",".join(f"{ORDER[k]}:{a}:{b}" for a, k, b in sorted(kept))
-
-
 def test_links_by_the_gap_between_parts(spark, tmp_path):
     long = "token = " + "aB3" * 100
     texts = [f"{long} user: bob at https://h/x", f"user: bob at https://h/x {long}", *SECRETS]
@@ -112,5 +95,5 @@ def test_links_by_the_gap_between_parts(spark, tmp_path):
     texts += ["".join(rng.choices(parts, k=rng.randrange(2, 14))) for _ in range(300)]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.spans for r in op7_secret_scan(spark, str(tmp_path)).collect()}
-    assert got == {i: brute_by_gap(t) for i, t in enumerate(texts)}
+    assert got == {i: brute(i, t)[5] for i, t in enumerate(texts)}
     assert "identifier:309" in got[0] and "endpoint:322" in got[0]
