@@ -8,12 +8,15 @@ the same way, each within its class.
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, text_of
 
 ROUNDS = 6
+KEY_SETTING = "lumenlog.pii.secret"
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}"
 IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}-[0-9]{2}-[0-9]{4})(?![0-9]|[./-][0-9])"
@@ -21,7 +24,7 @@ SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
 CARD = r"(?<![0-9])(?:[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{13,19})(?![0-9])"
 PHONE = r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3,4}[ .-][0-9]{4}(?![0-9]|[.-][0-9])|(?<![0-9+])\+[0-9]{8,15}(?![0-9])"
 #: Tried in this order where several begin at one place.
-KINDS = {"email": EMAIL, "ip": IP, "date": DATE, "ssn": SSN, "card": CARD.replace(r"\1", r"\1"), "phone": PHONE}
+KINDS = {"email": EMAIL, "ip": IP, "date": DATE, "ssn": SSN, "card": CARD, "phone": PHONE}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 FIRST_YEAR, YEARS, DAYS = 1800, 400, 146_097  # a whole Gregorian cycle: 189 * 773 days
 
@@ -182,8 +185,9 @@ def _email(key: str, m: Column) -> Column:
 PERMUTED = {"email": _email, "ip": _ip, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}
 
 
-def pseudonymised(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
-    """All columns of `docs` with `column` pseudonymised, n_pii (values changed) and pii (their kinds in order, joined by commas).
+def pseudonymised(docs: DataFrame, key: str, column: str = "text", added: tuple[str, str] = ("n_pii", "pii")) -> DataFrame:
+    """All columns of `docs` with `column` pseudonymised, and `added`: values changed, and their kinds in order, joined by
+    commas. Columns of `docs` that are named as `added` are replaced.
 
     A null text stays null and has no values. Values that look like a kind but fail its validation stay as they are.
     Texts are taken whole, every row on its own, so repeated rows get equal results. An empty table gives an empty result.
@@ -205,12 +209,25 @@ def pseudonymised(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     joined = F.array_join(F.transform(between, lambda p, i: F.concat(p, F.coalesce(F.get(F.col("__pii"), i)["to"], F.lit("")))), "")
     return (
         marked.withColumn(column, F.when(F.col("__pii").isNotNull(), joined).otherwise(text))
-        .withColumn("n_pii", F.when(F.col("__pii").isNotNull(), F.size(changed)).otherwise(0))
-        .withColumn("pii", F.when(F.col("__pii").isNotNull(), F.array_join(F.transform(changed, lambda m: m["kind"]), ",")).otherwise(""))
+        .withColumn(added[0], F.when(F.col("__pii").isNotNull(), F.size(changed)).otherwise(0))
+        .withColumn(added[1], F.when(F.col("__pii").isNotNull(), F.array_join(F.transform(changed, lambda m: m["kind"]), ",")).otherwise(""))
         .drop("__pii")
     )
 
 
+def session_key(spark: SparkSession) -> str:
+    """The key of pseudonyms: the setting KEY_SETTING; where it is unset, a random one that is kept for the session.
+
+    Pseudonyms can be undone by whoever has the key, so it is never part of the code. To link values across sessions, set
+    it.
+    """
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return pseudonymised(docs, key="lumenlog").select("doc_id", "n_pii", "pii", "text")
+    return pseudonymised(docs, session_key(spark)).select("doc_id", "n_pii", "pii", "text")

@@ -84,3 +84,16 @@ def test_awkward_rows(spark):
     assert pseudonymised(empty(spark), "k").collect() == []
     plan = got._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_the_key_is_a_setting(spark, small):
+    spark.conf.unset(pii.KEY_SETTING)
+    first = pii.session_key(spark)
+    assert len(first) == 64 and pii.session_key(spark) == first
+    spark.conf.unset(pii.KEY_SETTING)
+    assert pii.session_key(spark) != first
+    spark.conf.set(pii.KEY_SETTING, "mine")
+    assert pii.session_key(spark) == "mine"
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    assert {(r.doc_id, r.text) for r in op9_pii(spark, small).collect()} == {(r.doc_id, r.text) for r in pseudonymised(docs, "mine").collect()}
+    spark.conf.unset(pii.KEY_SETTING)
