@@ -15,29 +15,48 @@ from lumenlog.llm.quality_classifier import quality_classifier
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores at one half or more stay."""
-    return quality_classifier(docs, table(spark, sf_dir, "labels")).filter("quality_score >= 0.5").select(docs.columns)
+    """Documents that the classifier scores at one half or more stay, whole and with all their columns.
+
+    Null and empty texts have no passages and get one low score, so they go. Repeated rows and rows with null ids are
+    judged alike, each by its text. An empty table stays empty.
+    """
+    return quality_classifier(docs, table(spark, sf_dir, "labels"), "__quality").filter("__quality >= 0.5").select(docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; a document of which no word is left goes, and n_chars follows the text."""
-    left = line_dedup(docs).filter(F.col("n_removed").eqNullSafe(0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    """Repeated lines go; a document of which no word is left goes, and n_chars follows the text.
+
+    Documents without a removed line stay as they are: null texts, empty ones, any n_chars. Of repeated rows the first
+    keeps its lines, so the others mostly go. Rows with null ids come first in the order. An empty table stays empty.
+    """
+    left = line_dedup(docs, counts=("__lines", "__gone")).filter(F.col("__gone").eqNullSafe(0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return left.withColumn("n_chars", F.when(F.col("__gone") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles at a similarity of 0.8 stays."""
+    """One document of each group linked by five-word shingles at a similarity of 0.8 stays, that of the least doc_id.
+
+    Of repeated rows one stays; null and empty texts are linked with nothing and stay, as do rows with null ids that no
+    other row is linked to. An empty table stays empty.
+    """
     return one_of_each(docs, words=5, percent=80).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go.
+
+    Null and empty texts hold none and stay; repeated rows stay or go together; items with a null id or text aren't
+    searched for. An empty table stays empty.
+    """
     return decontaminated(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents left, in sequences of 2048 tokens."""
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False, added_tokens=True)
+    """Pieces of all documents left, in sequences of 2048 tokens.
+
+    Null and empty texts give the end id alone; repeated rows and null ids are packed like others. No documents, no pieces.
+    """
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
 
 STAGES = [("quality_classifier", classify), ("line_dedup", dedup_lines), ("ngram_join", dedup_documents), ("decontamination", decontaminate), ("packing", packed)]
