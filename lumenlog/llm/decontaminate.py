@@ -3,10 +3,9 @@
 Texts and items are sequences of normalised words. A CGK walk copies a window symbol by symbol and moves on at random
 coin flips that depend on step and symbol, so windows at a small edit distance get walks at a small Hamming distance.
 Each of several walks is sampled at a few random steps; a window whose sample equals one of an item's windows is a
-candidate. Windows are item-sized: their length is the largest power of two that the item holds (of up to 128 words),
-so that as many edits as the item may have fall into one, and they start at places chosen by content (the hash of two
-neighbouring words), in texts and items alike, so an item gives several windows and an edit spoils only some. Items
-also have an exact path: cut into one piece more than it may have edits, an item within the bound has a piece (two to
+candidate. Windows are item-sized: their length is the largest power of two of at most two thirds of the item's words
+(and at most 128), and they start at places chosen by content (the hash of two neighbouring words), in texts and items
+alike, so an item gives several windows and an edit spoils only some. Items also have an exact path: cut into one piece more than it may have edits, an item within the bound has a piece (two to
 four words) that stands whole in the text, so every run of words that equals a piece is a candidate too. Words are
 hashed to find candidates; each candidate is then verified on the words themselves: the item's exact edit distance to
 the best stretch of words of the text.
@@ -48,8 +47,9 @@ def words_of(text: str) -> np.ndarray:
 
 
 def class_of(length: int) -> int:
-    """Words of the windows of an item of so many words; 0 if it only matches whole."""
-    return max((c for c in CLASSES if c <= length), default=0)
+    """Words of the windows of an item of so many words: at most two thirds of them, so that it has several windows, and
+    the least class for the shortest items; 0 if it only matches whole."""
+    return max((c for c in CLASSES if 3 * c <= 2 * length), default=CLASSES[0] if length >= CLASSES[0] else 0)
 
 
 def _runs(h: np.ndarray, q: int) -> np.ndarray:
