@@ -50,8 +50,20 @@ def shard_depth(threads: int, per_folder: int = 1024) -> int:
     return depth
 
 
+#: What counts as an ISO time: a date, and perhaps a time of day with an offset; basic dates (yyyymmdd) are spread first.
+_ISO = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ][0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]+)?)?(?:Z|[+-][0-9]{2}:?[0-9]{2})?)?$"
+#: First and last second of the years 1 to 9999.
+_FIRST_SECOND, _LAST_SECOND = -62_135_596_800, 253_402_300_799
+
+
 def parsed_timestamp(text: Column) -> Column:
-    """ISO text, epoch seconds, or epoch milliseconds (above 1e12) as a timestamp; else null."""
-    number = F.expr("null").cast("double") if text is None else text.try_cast("double")
-    seconds = F.when(F.abs(number) > 1e12, number / 1000).otherwise(number)
-    return F.coalesce(F.when(number.isNotNull(), F.timestamp_micros((seconds * 1_000_000).cast("bigint"))), F.try_to_timestamp(text))
+    """An ISO date or time as a timestamp, without an offset in UTC; null for any other text, numbers included."""
+    spread = F.regexp_replace(F.trim(text), "^([0-9]{4})([0-9]{2})([0-9]{2})(?=$|T)", "$1-$2-$3")
+    return F.when(spread.rlike(_ISO), F.try_to_timestamp(spread))
+
+
+def epoch_timestamp(number: Column) -> Column:
+    """Seconds since 1970, or milliseconds if above 1e12, as a timestamp; null for what is no time of the years 1 to 9999."""
+    seconds = F.when(number > 1_000_000_000_000, number / 1000).otherwise(number.cast("double"))
+    # NaN is greater than any number, so it is out of range too.
+    return F.when(seconds.between(_FIRST_SECOND, _LAST_SECOND), F.timestamp_micros(F.round(seconds * 1_000_000).cast("bigint")))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lumenlog.functions.text import ascii_lower, digit_fold, tokens
+from lumenlog.functions.query import Both, Either, Phrase, Without, any_of
+from lumenlog.functions.text import ascii_lower, context_lines as lines_around, tokens
 from lumenlog.operators import ranking, search
+from lumenlog.operators.index import index_of
 from lumenlog.plans.base import MESSAGES, messages, registry, table
 
 QUERIES, query = registry()
@@ -26,6 +28,15 @@ with d as (select {key} as doc_id, {WORDS} as words from {source} t), r as (sele
 select doc_id, score from x order by score desc, doc_id limit {k}"""
 
 
+_PHRASES = [Phrase((t,)) for t in TERMS]
+
+
+def _documents(spark, d):
+    """The documents and their index, which is built once for the files."""
+    docs = table(spark, d, "documents")
+    return docs, index_of(docs, "documents")
+
+
 def _any(terms):
     return " or ".join(f"tf{i} > 0" for i in range(len(terms)))
 
@@ -36,22 +47,22 @@ def _top(scored, k):
 
 @query(_bm25_sql(MESSAGES, "event_id", ["that", "avec", "from"], _any("abc"), 20))
 def bm25_topk(spark, d):
-    return _top(search.bm25(messages(spark, d), ["that", "avec", "from"], doc_id="event_id"), 20)
+    return _top(search.bm25(index_of(messages(spark, d), "messages", "event_id"), any_of(["that", "avec", "from"])), 20)
 
 
 @query(_bm25_sql("documents", "doc_id", TERMS, "tf0 > 0 and tf1 > 0", 50))
 def bm25_and(spark, d):
-    return _top(search.bm25(table(spark, d, "documents"), TERMS, (F.col("tf0") > 0) & (F.col("tf1") > 0)), 50)
+    return _top(search.bm25(_documents(spark, d)[1], Both(_PHRASES[0], _PHRASES[1]), _PHRASES), 50)
 
 
 @query(_bm25_sql("documents", "doc_id", TERMS, _any(TERMS), 50))
 def bm25_or(spark, d):
-    return _top(search.bm25(table(spark, d, "documents"), TERMS), 50)
+    return _top(search.bm25(_documents(spark, d)[1], any_of(TERMS)), 50)
 
 
 @query(_bm25_sql("documents", "doc_id", TERMS, "tf0 > 0 and tf1 = 0", 50))
 def bm25_not(spark, d):
-    return _top(search.bm25(table(spark, d, "documents"), TERMS, (F.col("tf0") > 0) & (F.col("tf1") == 0)), 50)
+    return _top(search.bm25(_documents(spark, d)[1], Without(_PHRASES[0], _PHRASES[1]), _PHRASES), 50)
 
 
 @query(f"select term, count(*)::bigint as df from (select unnest(list_distinct({WORDS})) as term from documents) group by term having count(*) >= 20")
@@ -67,8 +78,7 @@ def postings_of_terms(spark, d):
 
 @query(f"select doc_id from (select doc_id, {WORDS} as w from documents) where list_has_any(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), ['of the', 'in the'])")
 def phrase_match(spark, d):
-    words = table(spark, d, "documents").select("doc_id", tokens(F.col("text")).alias("w"))
-    return words.filter(search.phrase(F.col("w"), ["of", "the"]) | search.phrase(F.col("w"), ["in", "the"])).select("doc_id")
+    return search.matched(_documents(spark, d)[1], Either(Phrase(("of", "the")), Phrase(("in", "the"))))
 
 
 @query(f"select doc_id from documents where contains({LOWER}, 'license, version')")
@@ -78,8 +88,7 @@ def substring_scan(spark, d):
 
 @query(f"select doc_id from documents where contains({LOWER}, 'license, version')")
 def substring_trigram(spark, d):
-    docs = table(spark, d, "documents")
-    return search.contains_indexed(docs, search.trigram_index(docs), "License, Version").select("doc_id")
+    return search.contains_indexed(*_documents(spark, d), "License, Version").select("doc_id")
 
 
 @query(f"select doc_id from documents where contains({LOWER}, 'token = ') or contains({LOWER}, '@mail') or contains({LOWER}, '100%_')")
@@ -93,14 +102,21 @@ def startswith_scan(spark, d):
 
 
 @query("""
-with p as (select doc_id, 0 as pass_no, row_number() over (order by doc_id) as rank from documents where contains(text, 'Apache License')
-           union all select doc_id, 1, row_number() over (order by doc_id) from documents where contains(text, 'License'))
-select doc_id, pass_no, rank::bigint as rank from (select *, row_number() over (partition by doc_id order by pass_no, rank) as r from p) where r = 1""")
+with a as (select doc_id, row_number() over (order by doc_id desc) as rank from documents where contains(text, 'Apache License') order by doc_id desc limit 40),
+     b as (select doc_id, row_number() over (order by doc_id desc) as rank from documents where contains(text, 'License') order by doc_id desc limit 40),
+     c as (select doc_id, row_number() over (order by doc_id desc) as rank from documents where contains(text, 'the') order by doc_id desc limit 40),
+     ab as (select doc_id, 0 as pass_no, rank from a union all select doc_id, 1, rank from b where (select count(*) from a) < 40 and doc_id not in (select doc_id from a)),
+     abc as (select * from ab union all select doc_id, 2, rank from c where (select count(*) from ab) < 40 and doc_id not in (select doc_id from ab))
+select doc_id, pass_no::bigint as pass_no, rank::bigint as rank from abc""")
 def match_ladder(spark, d):
+    """Three passes of ever looser literals: a later one only while the pool is short, and then whole."""
     docs = table(spark, d, "documents")
-    order = Window.orderBy("doc_id")
-    passes = [docs.filter(F.contains("text", F.lit(x))).select("doc_id", F.row_number().over(order).cast("long").alias("rank")) for x in ("Apache License", "License")]
-    return search.ladder(passes, 1_000_000_000)
+
+    def newest(needle):
+        return lambda n: docs.filter(F.contains("text", F.lit(needle))).select("doc_id", F.lit(None).cast("double").alias("score")).orderBy(F.desc("doc_id")).limit(n)
+
+    pool = search.ladder([(newest("Apache License"), True), (newest("License"), False), (newest("the"), False)], 40)
+    return spark.createDataFrame([x[:3] for x in pool], "doc_id long, pass_no long, rank long")
 
 
 @query("""
@@ -125,9 +141,14 @@ def dedup_content(spark, d):
     return table(spark, d, "documents").groupBy("source", F.trim(F.col("text"), F.lit("\n ")).alias("t")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).select("doc_id", "copies")
 
 
-@query("select lang, count(*)::bigint as docs, count(distinct regexp_replace(text, '[0-9]+', '#', 'g'))::bigint as contents from documents group by lang")
+@query("""
+with t as (select event_id, user_id, event_type, row_number() over (order by event_id desc) as rank from events order by event_id desc limit 5000), p as (select * from t where rank <= 200),
+     f as (select count(distinct (user_id, event_type)) * 2 < count(*) and count(*) = 200 as flooded from p), r as (select arg_min(event_id, rank) as event_id, min(rank) as rank from t group by user_id, event_type)
+select event_id, rank::bigint as rank from p union select r.event_id, r.rank::bigint from r, f where flooded""")
 def flood_fold(spark, d):
-    return table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.count_distinct(F.sha2(digit_fold(F.col("text")).cast("binary"), 256)).alias("contents"))
+    """The newest 200 events as a pool; where copies fill most of it, the best of each content among the newest 5000 joins."""
+    newest = table(spark, d, "events").select("event_id", "user_id", "event_type")
+    return search.flood_rescan(newest, [F.desc("event_id")], ["user_id", "event_type"], "event_id", 200)
 
 
 _A = _bm25_sql("documents", "doc_id", TERMS, _any(TERMS), 100)
@@ -145,7 +166,7 @@ def rrf_two_arms(spark, d):
     vectors = table(spark, d, "embeddings")
     probe = vectors.filter("vec_id = 0").select("embedding").first()[0]
     semantic = knn(vectors, probe, 100, key="vec_id").select(F.col("vec_id").alias("doc_id"), "score")
-    return ranking.rrf([ranking.ranked(_top(search.bm25(table(spark, d, "documents"), TERMS), 100), "lex"), ranking.ranked(semantic, "sem")])
+    return ranking.rrf([ranking.ranked(_top(search.bm25(_documents(spark, d)[1], any_of(TERMS)), 100), "lex"), ranking.ranked(semantic, "sem")])
 
 
 @query("select doc_id, round(case when max(n_chars) over () = min(n_chars) over () then 0 else (n_chars - min(n_chars) over ())::double / (max(n_chars) over () - min(n_chars) over ()) end, 6) as spread from documents where lang = 'es'")
@@ -161,7 +182,7 @@ def _hits(t):
 
 
 _PRESENT = " + ".join(f"({_hits(t)} > 0)::int" for t in TERMS)
-_DENSITY = f"(({' + '.join(_hits(t) for t in TERMS)}) / greatest(1.0::double, length(text) / 500.0::double))"
+_DENSITY = f"(({_PRESENT}) / greatest(1.0::double, length(text) / 500.0::double))"
 
 
 @query(f"select doc_id, case when present >= 2 then 'strong' when present = 0 then 'weak' else 'partial' end as verdict from (select doc_id, {_PRESENT} as present from documents)")
@@ -212,20 +233,21 @@ def chunk_text(spark, d):
 
 
 @query("""
-with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as n from documents),
-     h as (select doc_id, min(n) as hit_line from l where contains(line, 'License') group by doc_id)
-select l.doc_id, (n - hit_line)::int as distance, line from l join h on l.doc_id = h.doc_id where n between hit_line - 1 and hit_line + 1""")
+with l as (select doc_id, string_split(text, chr(10)) as lines from documents), h as (select doc_id, lines, list_position(list_transform(lines, lambda x: contains(lower(x), 'license') or contains(lower(x), 'version')), true) as hit from l),
+     w as (select doc_id, hit, lines, list_transform(range(greatest(1, hit - 1), least(len(lines), hit + 1) + 1), lambda i: (case when i = hit then '>>>' else '   ' end) || ' ' || i || ': ' || lines[i]) as shown from h)
+select doc_id, case when hit > 0 then array_to_string(shown, chr(10)) else array_to_string(list_slice(lines, 1, 3), chr(10)) end as context from w""")
 def context_lines(spark, d):
-    lines = F.split("text", "\n", -1)
-    at = F.array_position(F.transform(lines, lambda x: F.contains(x, F.lit("License"))), F.lit(True)).cast("int")
-    hit = table(spark, d, "documents").select("doc_id", lines.alias("lines"), at.alias("at")).filter("at > 0")
-    return hit.select("doc_id", "at", F.posexplode("lines").alias("n", "line")).withColumn("distance", F.col("n") + 1 - F.col("at")).filter("abs(distance) <= 1").select("doc_id", "distance", "line")
+    return table(spark, d, "documents").select("doc_id", lines_around(F.col("text"), "how is the License version", 1).alias("context"))
 
 
-@query("select doc_id, length(text)::bigint as length, floor((row_number() over (order by doc_id) - 1) / 256)::bigint as block, row_number() over (partition by floor(doc_id / 256) order by length(text), doc_id)::bigint as place from documents")
+@query("""
+with p as (select doc_id, length(text)::bigint as length, row_number() over (order by doc_id) - 1 as position from documents)
+select doc_id, length, (position // 256)::bigint as block, row_number() over (partition by position // 256 order by length, doc_id)::bigint as place from p""")
 def length_window_sort(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.length("text").cast("long").alias("length"), F.floor(F.col("doc_id") / 256).alias("block"))
-    return docs.withColumn("place", F.row_number().over(Window.partitionBy("block").orderBy("length", "doc_id")).cast("long"))
+    """Documents by length within windows of 256 positions."""
+    docs = ranking.numbered(table(spark, d, "documents").select("doc_id", F.length("text").cast("long").alias("length")), "doc_id")
+    blocked = docs.select("doc_id", "length", F.floor(F.col("position") / 256).alias("block"))
+    return blocked.withColumn("place", F.row_number().over(Window.partitionBy("block").orderBy("length", "doc_id")).cast("long"))
 
 
 @query(f"select event_id, {LOWER} as folded from {MESSAGES} where role = 'system'")
