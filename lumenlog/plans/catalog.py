@@ -15,7 +15,7 @@ class Query:
     sql: str | None = None
 
 
-MODULES: tuple[str, ...] = ("retrieval", "reading", "statistics", "ingestion", "analysis", "reports")
+MODULES: tuple[str, ...] = ("retrieval", "reading", "statistics", "ingestion", "building", "analysis", "integrity", "reports")
 
 
 def catalog() -> dict[str, Query]:
