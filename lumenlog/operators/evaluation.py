@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -27,3 +27,11 @@ def attributed(events: DataFrame, session: str, order: str, is_search, is_read)
     """Reads with the latest search before them in the session."""
     w = Window.partitionBy(session).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return events.withColumn("search", F.last(F.when(is_search, F.col(order)), ignorenulls=True).over(w)).filter(is_read & F.col("search").isNotNull())
+
+
+def query_shape(text: Column) -> Column:
+    """What kind of query a text is: pipe-or, boolean/phrase, code, natural or single-term."""
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    boolean = F.contains(text, F.lit('"')) | F.exists(words, lambda w: w.isin("AND", "OR", "NOT"))
+    code = text.rlike("_|::") | F.exists(words, lambda w: F.contains(w, F.lit(".")) & ~F.endswith(w, F.lit(".")))
+    return F.when(F.contains(text, F.lit("|")), "pipe-or").when(boolean, "boolean/phrase").when(code, "code").when(F.size(words) >= 2, "natural").otherwise("single-term")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,9 +66,12 @@ def floor_rank(rows: DataFrame, by: list[str], value: str, q: float, name: str)
     return placed.filter(F.col("__r") == F.least(F.floor(F.col("__n") * q).cast("int") + 1, F.col("__n"))).select(*by, F.col(value).alias(name))
 
 
-def fault_signature(message: Column) -> Column:
-    """A message with its numbers, hexadecimal ids, quoted parts, paths and runs of spaces folded."""
-    out = message
-    for pattern, mark in (("0x[0-9a-fA-F]+|[0-9a-f]{8,}", "<hex>"), ("'[^']*'|\"[^\"]*\"", "<str>"), ("(?:/[A-Za-z0-9._-]+)+", "<path>"), ("[0-9]+", "<n>"), (r"\s+", " ")):
-        out = F.regexp_replace(out, pattern, mark)
-    return out
+#: What varies within one kind of fault, and the mark that stands for it.
+VARYING = (
+    (r"\b[0-9A-HJKMNP-TV-Z]{26}\b", "<id>"), (r"\b[0-9a-fA-F]{2,}(?:-[0-9a-fA-F]{2,})+\b", "<id>"), (r"\b(?=[0-9a-f]*[0-9])[0-9a-f]{6,}\b", "<id>"), (r"(?<![\w/])/[^\s:]+", "<path>"), (r"[0-9]+", "N"),
+)
+
+
+def fault_signature(message: Column, most: int = 300) -> Column:
+    """A message with its ids, paths and numbers folded, cut to `most` characters."""
+    return F.substring(reduce(lambda text, fold: F.regexp_replace(text, *fold), VARYING, message), 1, most)

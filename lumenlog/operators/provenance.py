@@ -7,27 +7,34 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenlog.functions.text import glob_pattern
-
-#: Tool operations from the strongest to the weakest.
-OPERATIONS = ("write", "edit", "read", "search")
-
+from lumenlog.functions.paths import OPERATIONS
+from lumenlog.functions.text import ascii_lower, glob_pattern
 
 def path_predicate(path: Column, basename: Column, pattern: str) -> Column:
-    """Rows whose path a pattern means: a glob, a folder, an absolute path or subtree, a part of a path, or a file name."""
-    if not pattern:
+    """Rows whose path a pattern means, by its form alone: a file name, a part of a path, an absolute path or folder, a
+    glob. Parts of paths are compared without the case of A-Z; a part that ends in a file name must also be that file's."""
+    given = pattern.strip()
+    below = lambda folder: F.startswith(path, F.lit(folder + "/"))
+    if not given:
         return F.lit(False)
-    if any(c in pattern for c in "*?["):
-        return path.rlike(glob_pattern(pattern if pattern[0] in "/*" else "*" + pattern))
-    if pattern.endswith("/"):
-        return path.rlike(glob_pattern(pattern + "*"))
-    if pattern[0] in "/~":
-        return (path == pattern) | F.startswith(path, F.lit(pattern + "/"))
-    if "/" in pattern:
-        inner = F.endswith(path, F.lit("/" + pattern)) | (path == pattern) | F.contains(path, F.lit("/" + pattern + "/"))
-        last = pattern.rsplit("/", 1)[1]
-        return inner | (basename == last) if "." in last else inner
-    return basename == pattern
+    if set(given) & set("*?["):
+        return path.rlike(glob_pattern(given if given[0] in "/*" else "*" + given))
+    if given[-1] == "/":
+        return below(given.rstrip("/"))
+    if "/" not in given and given[0] != "~":
+        return basename == given
+    if given[0] in "/~":
+        return (path == given) | below(given)
+    part = given.lstrip("./").translate({i: i + 32 for i in range(65, 91)})
+    name = given.rsplit("/", 1)[1]
+    within = F.endswith(ascii_lower(path), F.lit("/" + part)) | F.contains(ascii_lower(path), F.lit("/" + part + "/"))
+    return within & (basename == name) if "." in name else within
+
+
+def op_predicate(op: Column, wanted: list[str] | None) -> Column:
+    """Rows of the wanted operations; without any that is known, all rows."""
+    known = [o for o in wanted or () if o in OPERATIONS]
+    return op.isin(known) if known else F.lit(True)
 
 
 def tally(touches: DataFrame, by: list[str], op: str = "op") -> DataFrame:
@@ -53,6 +60,16 @@ def authorship_windows(commits: DataFrame, key: str, at: str) -> DataFrame:
 
 
 def prefix_either_way(a: DataFrame, b: DataFrame, x: str, y: str, block: int = 4) -> DataFrame:
-    """Pairs where one hash begins with the other; both have at least `block` characters, which they are blocked on."""
-    left, right = a.withColumn("__k", F.substring(x, 1, block)), b.withColumn("__k", F.substring(y, 1, block))
-    return left.join(right, "__k").filter(F.startswith(x, F.col(y)) | F.startswith(y, F.col(x))).drop("__k")
+    """Pairs where one hash begins with the other. Hashes meet by their first `block` characters; a shorter one is spread over
+    the beginnings that it may have, so it must not be empty, and hashes are lower-case hexadecimal."""
+    left, right = (_by_beginning(rows, name, block) for rows, name in ((a, x), (b, y)))
+    return left.join(right, "__k").filter(F.startswith(x, F.col(y)) | F.startswith(y, F.col(x))).drop("__k").distinct()
+
+
+def _by_beginning(rows: DataFrame, name: str, block: int) -> DataFrame:
+    digits = F.array(*[F.lit(c) for c in "0123456789abcdef"])
+    whole = F.length(name) >= block
+    spread = F.array(F.col(name))
+    for i in range(1, block):
+        spread = F.when(F.length(name) + i <= block, F.flatten(F.transform(spread, lambda s: F.transform(digits, lambda c: F.concat(s, c))))).otherwise(spread)
+    return rows.filter(F.length(name) > 0).withColumn("__k", F.explode(F.when(whole, F.array(F.substring(name, 1, block))).otherwise(spread)))

@@ -70,17 +70,17 @@ def coherence_order(spark, d):
 
 
 _TOUCH = """(select page_id as event_id, page_id % 9 as thread_id, regexp_replace(split_part(url, '?', 1), '^https?://[^/]*', '') as path, regexp_extract(split_part(url, '?', 1), '([^/]*)$', 1) as basename,
- case page_id % 4 when 0 then 'write' when 1 then 'edit' when 2 then 'read' else 'search' end as op from pages)"""
+ case page_id % 4 when 0 then 'edit' when 1 then 'write' when 2 then 'delete' else 'read' end as op from pages)"""
 
 
 def _touches(spark, d):
     plain = F.split_part("url", F.lit("?"), F.lit(1))
-    op = F.element_at(F.array(*[F.lit(x) for x in provenance.OPERATIONS]), (F.col("page_id") % 4 + 1).cast("int"))
+    op = F.element_at(F.array(*[F.lit(x) for x in provenance.OPERATIONS[:4]]), (F.col("page_id") % 4 + 1).cast("int"))
     return table(spark, d, "pages").select(F.col("page_id").alias("event_id"), (F.col("page_id") % 9).alias("thread_id"), F.regexp_replace(plain, "^https?://[^/]*", "").alias("path"), F.regexp_extract(plain, "([^/]*)$", 1).alias("basename"), op.alias("op"))
 
 
 @query(f"""
-with t as (select *, case op when 'write' then 0 when 'edit' then 1 when 'read' then 2 else 3 end as r from {_TOUCH} where starts_with(path, '/fr/') or starts_with(path, '/en/'))
+with t as (select *, case op when 'edit' then 0 when 'write' then 1 when 'delete' then 2 else 3 end as r from {_TOUCH} where starts_with(path, '/fr/') or starts_with(path, '/en/'))
 select thread_id, count(*)::bigint as touches, count(distinct path)::bigint as paths, min(event_id) as first_event, max(event_id) as last_event, arg_min(event_id, r::bigint * 1000000000 - event_id) as anchor from t group by thread_id""")
 def path_blame(spark, d):
     t = _touches(spark, d)
@@ -95,6 +95,23 @@ def path_glob(spark, d):
     return t.filter(provenance.path_predicate(F.col("path"), F.col("basename"), "/en/*5") | provenance.path_predicate(F.col("path"), F.col("basename"), "/de/*5")).select("event_id", "path")
 
 
+_REPO_TOUCH = """(select page_id as event_id, case page_id % 6 when 0 then '/repo/_search/Rank.py' when 1 then '/other/rank.py' when 2 then '/repo/_search/rank.py/x.py' when 3 then '/repo/_search/rank.py' when 4 then 'rank.py' else '/repo/docs/_search/notes' end as path from pages)"""
+
+
+@query(f"""
+with t as (select event_id, path, regexp_extract(path, '([^/]*)$', 1) as basename, lower(path) as l from {_REPO_TOUCH})
+select event_id, 'part' as shape from t where basename = 'rank.py' and (ends_with(l, '/_search/rank.py') or contains(l, '/_search/rank.py/')) union all select event_id, 'folder' from t where ends_with(l, '/docs/_search') or contains(l, '/docs/_search/')
+union all select event_id, 'name' from t where basename = 'rank.py' union all select event_id, 'absolute' from t where path = '/repo/_search/rank.py' or starts_with(path, '/repo/_search/rank.py/') union all select event_id, 'glob' from t where regexp_full_match(path, '.*rank.p.')""")
+def path_shapes(spark, d):
+    """Each form of a path pattern, over paths that tell them apart."""
+    paths = ["/repo/_search/Rank.py", "/other/rank.py", "/repo/_search/rank.py/x.py", "/repo/_search/rank.py", "rank.py", "/repo/docs/_search/notes"]
+    t = table(spark, d, "pages").select(F.col("page_id").alias("event_id"), F.element_at(F.array(*[F.lit(p) for p in paths]), (F.col("page_id") % 6 + 1).cast("int")).alias("path"))
+    t = t.withColumn("basename", F.regexp_extract("path", "([^/]*)$", 1))
+    shapes = {"part": "_search/rank.py", "folder": "docs/_search", "name": "rank.py", "absolute": "/repo/_search/rank.py", "glob": "*rank.p?"}
+    found = F.filter(F.array(*[F.when(provenance.path_predicate(F.col("path"), F.col("basename"), p), F.lit(s)) for s, p in shapes.items()]), lambda s: s.isNotNull())
+    return t.select("event_id", F.explode(found).alias("shape"))
+
+
 @query(f"select thread_id, string_agg(op || ':' || n, ',' order by op) as ops, sum(n)::bigint as touches from (select thread_id, op, count(*) as n from {_TOUCH} group by all) group by thread_id")
 def thread_files(spark, d):
     t = provenance.tally(_touches(spark, d), ["thread_id"])
@@ -108,17 +125,10 @@ def _commit_share(lineitem, orders):
     return f.join(t, "path").groupBy("commit_id", "thread_id").agg(F.count(F.lit(1)).alias("matched")).join(n, "commit_id").select("commit_id", "thread_id", "matched", F.round(F.col("matched") / F.col("n"), 3).alias("share"))
 
 
-@query("""
-with f as (select distinct l_orderkey % 200 as commit_id, l_partkey % 50 as path from lineitem where l_orderkey < 400), t as (select distinct o_custkey % 20 as thread_id, o_orderkey % 50 as path from orders where o_orderkey < 300), n as (select commit_id, count(*) as n from f group by 1)
-select f.commit_id, t.thread_id, count(*)::bigint as matched, round(count(*)::double / max(n.n), 3) as share from f join t on f.path = t.path join n on n.commit_id = f.commit_id group by 1, 2""")
-def commit_share(spark, d):
-    return _commit_share(table(spark, d, "lineitem").filter("l_orderkey < 400"), table(spark, d, "orders").filter("o_orderkey < 300"))
-
-
 @query("""
 with f as (select distinct l_orderkey % 200 as commit_id, l_partkey % 50 as path from lineitem), t as (select distinct o_custkey % 20 as thread_id, o_orderkey % 50 as path from orders), n as (select commit_id, count(*) as n from f group by 1)
 select f.commit_id, t.thread_id, count(*)::bigint as matched, round(count(*)::double / max(n.n), 3) as share from f join t on f.path = t.path join n on n.commit_id = f.commit_id group by 1, 2""")
-def commit_share_whole(spark, d):
+def commit_share(spark, d):
     return _commit_share(table(spark, d, "lineitem"), table(spark, d, "orders"))
 
 
@@ -146,17 +156,10 @@ def _join_prefix(customer, orders):
     return provenance.prefix_either_way(a, b, "full_sha", "short").select("c_custkey", "o_orderkey")
 
 
-@query("""
-with a as (select c_custkey, sha256(c_custkey::varchar) as full_sha from customer), b as (select o_orderkey, substr(sha256((o_custkey)::varchar), 1, 7) as short from orders where o_orderkey < 200)
-select a.c_custkey, b.o_orderkey from a join b on starts_with(a.full_sha, b.short)""")
-def join_prefix(spark, d):
-    return _join_prefix(table(spark, d, "customer"), table(spark, d, "orders").filter("o_orderkey < 200"))
-
-
 @query("""
 with a as (select c_custkey, sha256(c_custkey::varchar) as full_sha from customer), b as (select o_orderkey, substr(sha256((o_custkey)::varchar), 1, 7) as short from orders)
 select a.c_custkey, b.o_orderkey from a join b on starts_with(a.full_sha, b.short)""")
-def join_prefix_whole(spark, d):
+def join_prefix(spark, d):
     return _join_prefix(table(spark, d, "customer"), table(spark, d, "orders"))
 
 
@@ -174,13 +177,8 @@ def link_fold(spark, d):
     return o.groupBy("a", "b").agg(F.max("id").alias("id"), F.max_by("gone", "id").alias("gone")).filter("not gone").select("a", "b", "id")
 
 
-@query("select c.c_nationkey as topic, o.o_custkey as member, count(*)::bigint as citations from orders o join customer c on c.c_custkey = o.o_custkey where c.c_nationkey < 5 group by all")
-def topic_members(spark, d):
-    return _topic_members(table(spark, d, "customer").filter("c_nationkey < 5"), table(spark, d, "orders"))
-
-
 @query("select c.c_nationkey as topic, o.o_custkey as member, count(*)::bigint as citations from orders o join customer c on c.c_custkey = o.o_custkey group by all")
-def topic_members_whole(spark, d):
+def topic_members(spark, d):
     return _topic_members(table(spark, d, "customer"), table(spark, d, "orders"))
 
 
@@ -256,24 +254,13 @@ def bench_compare(spark, d):
     return one(0, "a").join(one(1, "b"), "qid").filter("a != b").select("qid", F.round(F.col("b") - F.col("a"), 6).alias("moved")).orderBy("moved", "qid").limit(20)
 
 
-@query("""
-with q as (select item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from benchmark), d as (select doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), ' ') || ' ' as t from documents)
-select q.item_id, count(*)::bigint as holders from q join d on contains(d.t, ' ' || array_to_string(list_slice(q.w, 1, 8), ' ') || ' ') group by 1""")
-def passage_holders(spark, d):
-    """Documents that hold the first eight words of a passage, or all of a shorter one."""
-    return _passage_holders(table(spark, d, "documents"), table(spark, d, "benchmark"), whole=False)
-
-
 @query("""
 with q as (select item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from benchmark), d as (select doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), ' ') || ' ' as t from documents)
 select q.item_id, count(*)::bigint as holders from q join d on contains(d.t, ' ' || array_to_string(q.w, ' ') || ' ') group by 1""")
-def passage_holders_whole(spark, d):
-    """Documents that hold all words of a passage."""
-    return _passage_holders(table(spark, d, "documents"), table(spark, d, "benchmark"), whole=True)
-
-
-def _passage_holders(documents, benchmark, whole):
-    """An equi-join of runs of eight words, or of all words of shorter passages; the whole passage is verified in the text."""
+def passage_holders(spark, d):
+    """Documents that hold all words of a passage: an equi-join of runs of eight words, or of all words of shorter passages,
+    finds candidates, and the whole passage is verified in the text."""
+    documents, benchmark = table(spark, d, "documents"), table(spark, d, "benchmark")
     spaced = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
     items = benchmark.filter("text is not null").select("item_id", tokens(F.col("text")).alias("w")).select("item_id", spaced(F.col("w")).alias("passage"), F.slice("w", 1, 8).alias("head"))
     lengths = sorted(r[0] for r in items.select(F.size("head")).distinct().collect())  # 0 to 8
@@ -283,11 +270,12 @@ def _passage_holders(documents, benchmark, whole):
         made = F.transform(places, lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(n)), " "))) if n else F.array(F.xxhash64(F.lit("")))
         return F.when(F.size("w") >= n if n else F.size("w") == 0, made).otherwise(F.expr("cast(array() as array<bigint>)"))
 
-    words = documents.filter("text is not null").select(F.monotonically_increasing_id().alias("row"), tokens(F.col("text")).alias("w"))
+    # A row is known by its file and its place there, which are the same at every read.
+    at = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+    words = documents.filter("text is not null").select(at.alias("row"), tokens(F.col("text")).alias("w"))
     grams = words.select("row", F.explode(F.array_distinct(F.concat(*[runs(n) for n in lengths or [8]]))).alias("h"))
     held = grams.join(items.withColumn("h", F.xxhash64(F.array_join("head", " "))), "h")
-    if whole:
-        held = held.join(words.select("row", spaced(F.col("w")).alias("t")), "row").filter(F.contains("t", "passage"))
+    held = held.join(words.select("row", spaced(F.col("w")).alias("t")), "row").filter(F.contains("t", "passage"))
     return held.groupBy("item_id").agg(F.count(F.lit(1)).alias("holders"))
 
 
@@ -323,9 +311,9 @@ def browse_threads(spark, d):
     return table(spark, d, "customer").select("c_custkey").join(o, "c_custkey").select("c_custkey", F.col("last.o_orderkey").alias("o_orderkey"))
 
 
-@query("select p_partkey, p_name from part where lower(p_name) like '%part%' order by p_partkey desc limit 30 offset 10")
+@query("select p_partkey, p_name from part where lower(p_name) like '%ed%' order by p_partkey desc limit 30 offset 10")
 def list_threads(spark, d):
-    return table(spark, d, "part").filter(F.col("p_name").ilike("%part%")).select("p_partkey", "p_name").orderBy(F.desc("p_partkey")).offset(10).limit(30)
+    return table(spark, d, "part").filter(F.col("p_name").ilike("%ED%")).select("p_partkey", "p_name").orderBy(F.desc("p_partkey")).offset(10).limit(30)
 
 
 @query("select source, list_slice(list_sort(list_distinct(list(lang))), 1, 25) as langs, count(distinct lang)::bigint as n from documents group by 1")

@@ -12,14 +12,36 @@ from lumenlog.plans.base import MESSAGES, messages, registry, table
 QUERIES, query = registry()
 
 
-@query("select conv_id, turn, case when role in ('user', 'human') then 'user' when role in ('assistant', 'model', 'ai', 'bot') then 'assistant' when role in ('system', 'tool', 'developer') then role else 'unknown' end as role from conversations")
+_ROLES = ["User", "human", "assistant", "TOOL", "system", "developer", "weird", "", None]
+_SENDERS = ["human", "Assistant", "bot", None]
+
+
+@query("""
+with n as (select conv_id, turn, role, (conv_id * 7 + turn) % 9 as i, (conv_id * 3 + turn) % 4 as j from conversations),
+     g as (select conv_id, turn, case i when 0 then 'User' when 1 then 'human' when 2 then 'assistant' when 3 then 'TOOL' when 4 then 'system' when 5 then 'developer' when 6 then 'weird' when 7 then '' end as given, case j when 0 then 'human' when 1 then 'Assistant' when 2 then 'bot' end as sender from n)
+select conv_id, turn, given, sender, case when lower(given) in ('user', 'human') then 'user' when lower(given) in ('assistant', 'system', 'tool') then lower(given) when lower(sender) = 'human' then 'user' when lower(sender) = 'assistant' then 'assistant' when given <> '' then given else 'unknown' end as role from g""")
 def role_normalize(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", ingest.normalized_role(F.col("role")).alias("role"))
+    """Every kind of role and sender, dealt over the messages."""
+    pick = lambda values, i: F.element_at(F.array(*[F.lit(v) for v in values]), (i + 1).cast("int"))
+    n = table(spark, d, "conversations").select("conv_id", "turn", pick(_ROLES, (F.col("conv_id") * 7 + F.col("turn")) % 9).alias("given"), pick(_SENDERS, (F.col("conv_id") * 3 + F.col("turn")) % 4).alias("sender"))
+    return n.withColumn("role", ingest.normalized_role(F.col("given"), F.col("sender")))
+
 
+_HEADS = ["", "Warmup", "Warmup text that is a long one", "This session is being continued from", "Caveat: x", "[Request interrupted by", "[Image: 1]", "Base directory for this skill: /", "# Update Config Skill", "# Keybindings Skill", "<steward_checkin id=1>", "say <session_briefing>", "a <task-notification> b", "a <bash-notification> b"]
 
-@query(f"select event_id, starts_with(text, 'The ') or contains(text, 'token = ') or contains(substr(text, 1, 200), '@mail') or length(trim(text)) < 20 as injected from {MESSAGES} where role = 'user'")
+
+@query(f"""
+with h(i, head) as (values {", ".join(f"({i}, '{h}')" for i, h in enumerate(_HEADS))}),
+     m as (select event_id, case when i = 1 then head when i = 11 and event_id % 2 = 0 then repeat('x', 190) || head || text else head || text end as content from {MESSAGES} m join h on m.event_id % 14 = h.i)
+select event_id, case when starts_with(content, 'Warmup') and length(content) < 20 then 'warmup' when starts_with(content, 'This session is being continued') then 'context_continuation' when starts_with(content, 'Caveat:') then 'caveat'
+ when starts_with(content, '[Request interrupted') then 'request_interrupted' when starts_with(content, '[Image:') then 'image_placeholder' when starts_with(content, 'Base directory for this skill') or starts_with(content, '# Update Config Skill') or starts_with(content, '# Keybindings Skill') then 'skill_doc'
+ when starts_with(content, '<steward_checkin') then 'steward_checkin' when contains(substr(content, 1, 200), '<session_briefing') then 'session_briefing' when contains(content, '<task-notification>') then 'task_notification' when contains(content, '<bash-notification>') then 'bash_notification' end as source from m""")
 def detect_injected(spark, d):
-    return messages(spark, d).filter("role = 'user'").select("event_id", ingest.injected(F.col("text"), ["The "], ["token = "], ["@mail"]).alias("injected"))
+    """Messages behind each marker, and behind none; a late briefing doesn't count."""
+    i = (F.col("event_id") % 14).cast("int")
+    head = F.element_at(F.array(*[F.lit(h) for h in _HEADS]), i + 1)
+    content = F.when(i == 1, head).when((i == 11) & (F.col("event_id") % 2 == 0), F.concat(F.lit("x" * 190), head, "text")).otherwise(F.concat(head, "text"))
+    return messages(spark, d).select("event_id", ingest.injected_by(content).alias("source"))
 
 
 @query("""
@@ -48,24 +70,12 @@ def replay_dedup(spark, d):
     return messages(spark, d).filter(F.col("role").isin("user", "assistant")).groupBy("thread_id", "role", F.sha2(F.col("text").cast("binary"), 256)).agg(F.min("event_id").alias("event_id")).select("event_id")
 
 
-@query("""
-with recursive l as (select event_id as c, case when event_id % 8 = 0 then null else event_id - 1 - event_id % 3 end as p from events where event_id < 400),
- up as (select c, p, c as root, 0 as depth from l union all select up.c, l.p, l.c, up.depth + 1 from up join l on up.p = l.c)
-select c as event_id, arg_max(coalesce(p, root), depth) as root, max(depth)::int as depth from up group by c""")
-def active_path(spark, d):
-    return _active_path(table(spark, d, "events").filter("event_id < 400"))
-
-
 @query("""
 with recursive l as (select event_id as c, case when event_id % 8 = 0 then null else event_id - 1 - event_id % 3 end as p from events),
  up as (select c, p, c as root, 0 as depth from l union all select up.c, l.p, l.c, up.depth + 1 from up join l on up.p = l.c)
 select c as event_id, arg_max(coalesce(p, root), depth) as root, max(depth)::int as depth from up group by c""")
-def active_path_whole(spark, d):
-    return _active_path(table(spark, d, "events"))
-
-
-def _active_path(events):
-    e = events.select("event_id", F.when(F.col("event_id") % 8 != 0, F.col("event_id") - 1 - F.col("event_id") % 3).alias("parent_id"))
+def active_path(spark, d):
+    e = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 8 != 0, F.col("event_id") - 1 - F.col("event_id") % 3).alias("parent_id"))
     return ingest.roots_of(e, "event_id", "parent_id")
 
 
@@ -79,48 +89,39 @@ def last_wins(spark, d):
     return ingest.last_wins(table(spark, d, "orders"), "o_custkey", F.desc("o_orderkey")).select("o_custkey", "o_orderkey", "o_orderstatus")
 
 
-@query("""
-select user_id, count(*)::bigint as raw, count(distinct event_id)::bigint as ids, count(distinct coalesce(case when event_type <> 'view' then event_type || floor(value)::bigint end, event_id::varchar))::bigint as effective from events where event_id <= 900 group by user_id""")
-def scan_counts_effective(spark, d):
-    return _scan_counts_effective(table(spark, d, "events").filter("event_id <= 900"))
-
-
 @query("""
 select user_id, count(*)::bigint as raw, count(distinct event_id)::bigint as ids, count(distinct coalesce(case when event_type <> 'view' then event_type || floor(value)::bigint end, event_id::varchar))::bigint as effective from events group by user_id""")
-def scan_counts_effective_whole(spark, d):
-    return _scan_counts_effective(table(spark, d, "events"))
-
-
-def _scan_counts_effective(e):
+def scan_counts_effective(spark, d):
+    e = table(spark, d, "events")
     key = F.coalesce(F.when(F.col("event_type") != "view", F.concat("event_type", F.floor("value").cast("string"))), F.col("event_id").cast("string"))
     return e.groupBy("user_id").agg(F.count(F.lit(1)).alias("raw"), F.count_distinct("event_id").alias("ids"), F.count_distinct(key).alias("effective"))
 
 
-@query("select page_id, sha256(encode(html)) as blob_hash, octet_length(encode(html))::bigint as blob_bytes, min(page_id) over (partition by html) as kept from pages")
+@query("select page_id, sha256(encode(html)) as blob_hash, octet_length(encode(html))::bigint as blob_bytes, true as restored from pages")
 def blob_extract(spark, d):
-    blob = F.col("html").cast("binary")
-    p = table(spark, d, "pages").select("page_id", F.sha2(blob, 256).alias("blob_hash"), F.octet_length(blob).cast("long").alias("blob_bytes"))
-    return p.withColumn("kept", F.min("page_id").over(Window.partitionBy("blob_hash")))
+    """Payloads in base64 go out by hash, and come back as they were."""
+    from lumenlog.sources.sinks import extract_blobs, restore_blobs
 
+    p = table(spark, d, "pages").select("page_id", F.base64(F.col("html").cast("binary")).alias("data"))
+    named, blobs = extract_blobs(p, "data", "page_id")
+    back = restore_blobs(named, blobs, "data").select("page_id", F.col("data").alias("back"))
+    return named.join(back, "page_id").join(p, "page_id").select("page_id", "blob_hash", F.col("blob_bytes").cast("long").alias("blob_bytes"), (F.col("back") == F.col("data")).alias("restored"))
 
-@query("""
-with t(i, s) as (values (0, '2024-03-01T10:00:00Z'), (1, '1709287200'), (2, '1709287200123'), (3, 'nonsense'), (4, '2024-03-01 10:00:00'))
-select i + event_id as id, case when i = 3 then null when i = 2 then timestamp '2024-03-01 10:00:00.123' else timestamp '2024-03-01 10:00:00' end as at from t, (select event_id * 10 as event_id from events where event_id < 20)""")
-def parse_ts(spark, d):
-    return _parse_ts(table(spark, d, "events").filter("event_id < 20"))
 
-
-@query("""
-with t(i, s) as (values (0, '2024-03-01T10:00:00Z'), (1, '1709287200'), (2, '1709287200123'), (3, 'nonsense'), (4, '2024-03-01 10:00:00'))
-select i + event_id as id, case when i = 3 then null when i = 2 then timestamp '2024-03-01 10:00:00.123' else timestamp '2024-03-01 10:00:00' end as at from t, (select event_id * 10 as event_id from events)""")
-def parse_ts_whole(spark, d):
-    return _parse_ts(table(spark, d, "events"))
+_TIMES = ["2024-03-01T10:00:00Z", "1709287200", "20240301", "nonsense", "2024-03-01 10:00:00", "2024-03-01T12:00:00+02:00", "2024", "2024-03-01T10:00:00.250", "2024-13-01", ""]
 
 
-def _parse_ts(events):
-    kinds = F.array(*[F.lit(x) for x in ("2024-03-01T10:00:00Z", "1709287200", "1709287200123", "nonsense", "2024-03-01 10:00:00")])
-    e = events.select((F.col("event_id") * 10).alias("event_id"), F.posexplode(kinds).alias("i", "s"))
-    return e.select((F.col("i") + F.col("event_id")).alias("id"), ids.parsed_timestamp(F.col("s")).cast("timestamp_ntz").alias("at"))
+@query(f"""
+with t(i, s) as (values {", ".join(f"({i}, '{x}')" for i, x in enumerate(_TIMES))}), e as (select event_id, value, case event_id % 4 when 0 then 1709287200 + event_id when 1 then (1709287200 + event_id) * 1000.0 + 250 when 2 then 'nan'::double else 1e300 end::double as number from events)
+select event_id, i, case when i in (0, 4, 5) then timestamp '2024-03-01 10:00:00' when i = 7 then timestamp '2024-03-01 10:00:00.25' when i = 2 then timestamp '2024-03-01' end as at,
+ case event_id % 4 when 0 then make_timestamp((1709287200 + event_id) * 1000000) when 1 then make_timestamp((1709287200 + event_id) * 1000000 + 250000) end as epoch_at from e, t""")
+def parse_ts(spark, d):
+    """ISO texts and what only looks like one, next to seconds, milliseconds and what is no time at all."""
+    n = F.col("event_id") % 4
+    second = F.lit(1709287200) + F.col("event_id")
+    number = F.when(n == 0, second.cast("double")).when(n == 1, second * 1000.0 + 250).when(n == 2, F.lit(float("nan"))).otherwise(F.lit(1e300))
+    e = table(spark, d, "events").select("event_id", number.alias("number"), F.posexplode(F.array(*[F.lit(x) for x in _TIMES])).alias("i", "s"))
+    return e.select("event_id", "i", ids.parsed_timestamp(F.col("s")).cast("timestamp_ntz").alias("at"), ids.epoch_timestamp(F.col("number")).cast("timestamp_ntz").alias("epoch_at"))
 
 
 @query("""
@@ -163,13 +164,13 @@ def stitch_deltas(spark, d):
 
 
 @query(f"""
-select a.thread_id, a.event_id from {MESSAGES} a where a.role = 'assistant' and not exists (select 1 from {MESSAGES} u where u.thread_id = a.thread_id and u.role = 'user' and u.event_id = a.event_id - 1)
- and not exists (select 1 from {MESSAGES} x where x.thread_id = a.thread_id and x.role = 'user' and x.text = a.text)""")
+with b as (select thread_id, event_id, event_id // 2 as call, role, case when event_id % 5 < 2 then 'the same reply' else text end as text from {MESSAGES}), c as (select * from b where event_id % 2 = 1), t as (select * from b where event_id % 2 = 0 and event_id % 3 = 0)
+select c.thread_id, c.event_id from c where not exists (select 1 from t where t.thread_id = c.thread_id and t.call = c.call) and not exists (select 1 from t where t.thread_id = c.thread_id and t.text = c.text)""")
 def twin_gate(spark, d):
-    m = messages(spark, d).withColumn("h", F.sha2(F.col("text").cast("binary"), 256)).select("event_id", "thread_id", "role", "h")
-    said, user = m.filter("role = 'assistant'"), m.filter("role = 'user'")
-    open_ones = said.withColumn("before", F.col("event_id") - 1).join(user.select("thread_id", F.col("event_id").alias("before")), ["thread_id", "before"], "left_anti")
-    return open_ones.join(user.select("thread_id", "h"), ["thread_id", "h"], "left_anti").select("thread_id", "event_id")
+    """Blocks of call summaries whose call has no complete twin, and whose text no twin of the thread holds."""
+    text = F.when(F.col("event_id") % 5 < 2, "the same reply").otherwise(F.col("text"))
+    b = messages(spark, d).select("thread_id", "event_id", F.floor(F.col("event_id") / 2).alias("call"), text.alias("text"))
+    return ingest.untwinned(b.filter("event_id % 2 = 1"), b.filter("event_id % 2 = 0 and event_id % 3 = 0"), "thread_id", "call", "text").select("thread_id", "event_id")
 
 
 @query("""
@@ -208,30 +209,37 @@ def coverage_rules(spark, d):
     return stored.join(history, "source", "left").select("source", rule.alias("verdict"))
 
 
-@query("""
-with e as (select event_id, user_id, event_type, lead(event_type) over (partition by user_id order by event_id) as next from events)
-select event_type, count(*)::bigint as n, count(*) filter (where next = event_type)::bigint as again, count(*) filter (where next is null)::bigint as last from e group by 1""")
+@query(f"""
+with s as (select thread_id, turn, text from {MESSAGES} where role = 'user' and thread_id % 2 = 0 and turn < 4), m as (select m.*, case when role = 'user' then s.turn is not null end as seen from {MESSAGES} m left join s on s.thread_id = m.thread_id and s.turn = m.turn and s.text = m.text),
+     f as (select event_id, last_value(seen ignore nulls) over (partition by thread_id order by event_id rows unbounded preceding) as skipped from m)
+select event_id from f where not coalesce(skipped, false)""")
 def cross_pass_skip(spark, d):
-    nxt = F.lead("event_type").over(Window.partitionBy("user_id").orderBy("event_id"))
-    e = table(spark, d, "events").select("event_type", nxt.alias("next"))
-    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("next") == F.col("event_type"), 1)).alias("again"), F.count(F.when(F.col("next").isNull(), 1)).alias("last"))
+    """A merge of whole threads into what holds some of their first turns."""
+    m = messages(spark, d)
+    stored = m.filter("thread_id % 2 = 0 and turn < 4")
+    return ingest.without_seen_turns(m, stored, ["turn", "text"]).select("event_id")
 
 
 @query("""
-select e.event_id from events e where e.event_id >= 600 and not exists (select 1 from events s where s.event_id < 600 and s.event_id = e.event_id - 600) and not exists (select 1 from events s where s.event_id < 600 and s.user_id = e.user_id and s.event_type = e.event_type and s.event_type <> 'view' and floor(s.value) = floor(e.value))""")
+with s as (select event_id, user_id, event_type, floor(value) as v from events where event_id % 11 <> 4)
+select e.event_id from events e where not exists (select 1 from s where s.event_id = e.event_id) and not exists (select 1 from s where s.user_id = e.user_id and s.event_type = e.event_type and s.event_type <> 'view' and s.v = floor(e.value))""")
 def anti_theta(spark, d):
+    """Events that a store lost: neither their id is there nor, but for views, their key."""
     e = table(spark, d, "events").select("event_id", "user_id", "event_type", F.floor("value").alias("v"))
-    kept = e.filter("event_id < 600")
-    lost = e.filter("event_id >= 600").withColumn("twin", F.col("event_id") - 600).join(kept.select(F.col("event_id").alias("twin")), "twin", "left_anti")
+    kept = e.filter("event_id % 11 != 4")
+    lost = e.join(kept.select("event_id"), "event_id", "left_anti")
     return lost.join(kept.filter("event_type != 'view'").select("user_id", "event_type", "v"), ["user_id", "event_type", "v"], "left_anti").select("event_id")
 
 
 @query(f"""
-with f as (select thread_id, arg_min(text, event_id) as text, arg_min(length(text), event_id) as n from {MESSAGES} where role = 'user' group by 1)
-select a.thread_id, min(b.thread_id) as same_as from f a join f b on substr(a.text, 1, 4) = substr(b.text, 1, 4) group by 1""")
+with u as (select thread_id, turn, text from {MESSAGES} where role = 'user' union all select thread_id + 1000000, turn, case when thread_id % 4 = 1 and turn > 1 then text || '!' else text end from {MESSAGES} where role = 'user' and thread_id % 4 < 3 and (turn < 4 or thread_id % 4 = 2)),
+     l as (select thread_id, list(text order by turn) as said from u group by 1)
+select a.thread_id, min(b.thread_id) as continues from l a join l b on a.thread_id <> b.thread_id and list_slice(a.said, 1, len(b.said)) = b.said group by 1""")
 def continuation_match(spark, d):
-    first = messages(spark, d).filter("role = 'user'").groupBy("thread_id").agg(F.substring(F.min_by("text", "event_id"), 1, 4).alias("head"))
-    return first.select("thread_id", F.min("thread_id").over(Window.partitionBy("head")).alias("same_as"))
+    """Threads and copies of them: cut short, changed on the way, or whole."""
+    u = messages(spark, d).filter("role = 'user'").select("thread_id", "turn", "text")
+    copy = u.filter("thread_id % 4 < 3 and (turn < 4 or thread_id % 4 = 2)").select((F.col("thread_id") + 1_000_000).alias("thread_id"), "turn", F.when((F.col("thread_id") % 4 == 1) & (F.col("turn") > 1), F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"))
+    return ingest.continuations(u.unionAll(copy), "turn")
 
 
 @query("select c.conv_id, case when length(c.text) = length(o.text) and c.text = o.text then 'unchanged' when starts_with(c.text, o.text) then 'append' else 'rewind' end as verdict from (select conv_id, string_agg(text, chr(10) order by turn) as text from conversations group by 1) c join (select conv_id, string_agg(text, chr(10) order by turn) as text from conversations where turn < 2 or conv_id % 3 = 0 group by 1) o on c.conv_id = o.conv_id")

@@ -26,11 +26,11 @@ def steps(spark, d):
 
 
 @query(f"""
-with p as (select *, row_number() over (partition by thread_id order by event_id) as place from {MESSAGES}), h as (select * from p where contains(text, 'token'))
+with p as (select *, row_number() over (partition by thread_id order by event_id) as place from {MESSAGES}), h as (select * from p where contains(text, 'hat'))
 select h.event_id as hit_id, (p.place - h.place)::int as distance, p.event_id, substr(p.text, 1, 500) as preview from h join p on p.thread_id = h.thread_id and p.place between h.place - 2 and h.place + 2""")
 def neighbours(spark, d):
     m = messages(spark, d)
-    return reading.neighbours(m, m.filter(F.contains("text", F.lit("token"))), 2).select("hit_id", "distance", "event_id", F.substring("text", 1, 500).alias("preview"))
+    return reading.neighbours(m, m.filter(F.contains("text", F.lit("hat"))), 2).select("hit_id", "distance", "event_id", F.substring("text", 1, 500).alias("preview"))
 
 
 @query(f"select thread_id, event_id, row_number() over (partition by thread_id order by event_id)::int as step, case when trim(text) = '' then '[tool use]' else substr(text, 1, 70) end as preview from {MESSAGES}")
@@ -61,11 +61,12 @@ def around_event(spark, d):
 
 
 @query(f"""
-with t as {TURNS}, x as (select max(turn_no) as at_turn from t where thread_id = 2 and event_id <= 2000002)
-select t.event_id from t, x where t.thread_id = 2 and t.turn_no > x.at_turn""")
+with t as {TURNS}, x as (select thread_id, max(turn_no) as at_turn from t where event_id <= thread_id * 1000000 + 1 group by thread_id)
+select t.event_id from t join x on t.thread_id = x.thread_id where t.turn_no > x.at_turn""")
 def after_event(spark, d):
-    t = reading.with_turns(messages(spark, d).filter("thread_id = 2"))
-    at = t.filter("event_id <= 2000002").groupBy("thread_id").agg(F.max("turn_no").alias("at_turn"))
+    """Every thread from the turn after the one that renders its second event."""
+    t = reading.with_turns(messages(spark, d))
+    at = t.filter("event_id <= thread_id * 1000000 + 1").groupBy("thread_id").agg(F.max("turn_no").alias("at_turn"))
     return t.join(at, "thread_id").filter("turn_no > at_turn").select("event_id")
 
 

@@ -147,13 +147,21 @@ def endpoint_summary(spark, d):
 
 
 @query("""
-with m as (select event_id, 'GET /item/' || event_id || '/part failed with "' || event_type || '" at 0x' || printf('%x', event_id) || '  code ' || user_id as message from events where event_type = 'error')
-select regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(message, '0x[0-9a-fA-F]+|[0-9a-f]{8,}', '<hex>', 'g'), '''[^'']*''|"[^"]*"', '<str>', 'g'), '(?:/[A-Za-z0-9._-]+)+', '<path>', 'g'), '[0-9]+', '<n>', 'g'), '\\s+', ' ', 'g') as signature,
- count(*)::bigint as n, min(event_id) as first_id, max(event_id) as last_id from m group by 1""")
+with m as (select event_id, event_type, event_id % 4 as k, event_id // 1000 as since from events where event_type = 'error'),
+     s as (select event_id, since, case k when 0 then 'src' || 'N: <path>: <id> failed' when 1 then 'job <id> of N' when 2 then 'row <id> is added, decade faced' else repeat('x', 300) end as signature from m),
+     l as (select signature, since, arg_max(event_id % 50 + 1, event_id) as n, min(event_id) as first_id, max(event_id) as last_id from s group by all)
+select signature, sum(n)::bigint as n, min(first_id) as first_id, max(last_id) as last_id, count(*)::bigint as runs from l group by 1""")
 def fault_signatures(spark, d):
-    e = table(spark, d, "events").filter("event_type = 'error'")
-    message = F.concat(F.lit("GET /item/"), F.col("event_id"), F.lit('/part failed with "'), F.col("event_type"), F.lit('" at 0x'), F.lower(F.hex("event_id")), F.lit("  code "), F.col("user_id"))
-    return e.groupBy(metrics.fault_signature(message).alias("signature")).agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
+    """Messages with ids of every shape, paths and numbers; the last count of each run of a fault, then their sum."""
+    e = table(spark, d, "events").filter("event_type = 'error'").withColumn("k", F.col("event_id") % 4).withColumn("since", F.floor(F.col("event_id") / 1000))
+    number = F.col("event_id").cast("string")
+    ulid, uuid, token = F.upper(F.substring(F.translate(F.md5(number), "abcdef", "012345"), 1, 26)), F.concat(F.substring(F.md5(number), 1, 8), F.lit("-"), F.substring(F.md5(number), 9, 4)), F.concat(F.lit("a1"), F.substring(F.md5(number), 1, 8))
+    message = (
+        F.when(F.col("k") == 0, F.concat(F.lit("src"), number, F.lit(": /var/log/"), number, F.lit("/x.log: "), uuid, F.lit(" failed"))).when(F.col("k") == 1, F.concat(F.lit("job "), ulid, F.lit(" of "), number))
+        .when(F.col("k") == 2, F.concat(F.lit("row "), token, F.lit(" is added, decade faced"))).otherwise(F.repeat(F.lit("x"), F.lit(310)))
+    )
+    runs = e.groupBy(metrics.fault_signature(message).alias("signature"), "since").agg(F.max_by(F.col("event_id") % 50 + 1, "event_id").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
+    return runs.groupBy("signature").agg(F.sum("n").alias("n"), F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"), F.count(F.lit(1)).alias("runs"))
 
 
 @query("""
@@ -164,9 +172,11 @@ def ingest_summary(spark, d):
     )
 
 
-@query("select c.c_custkey, c.c_mktsegment from customer c where not exists (select 1 from orders o where o.o_custkey = c.c_custkey)")
+@query("select c.c_custkey, c.c_mktsegment from customer c where not exists (select 1 from orders o where o.o_custkey = c.c_custkey and o.o_orderstatus = 'P')")
 def undated(spark, d):
-    return table(spark, d, "customer").select("c_custkey", "c_mktsegment").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    """Customers without an order of one state: conversations without activity."""
+    pending = table(spark, d, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, d, "customer").select("c_custkey", "c_mktsegment").join(pending, "c_custkey", "left_anti")
 
 
 @query("""

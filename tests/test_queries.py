@@ -36,7 +36,9 @@ def test_query_against_sql(spark, con, small, name):
     want = con.execute(query.sql)
     names = [c[0] for c in want.description]
     assert sorted(got.columns) == sorted(names)
-    assert rows(got.columns, got.collect()) == rows(names, want.fetchall())
+    found = rows(got.columns, got.collect())
+    assert found == rows(names, want.fetchall())
+    assert found  # an empty result proves nothing
 
 
 def test_communities_split_clusters(spark):
@@ -47,21 +49,6 @@ def test_communities_split_clusters(spark):
     assert len(set(found.values())) == 2 and len({found[i] for i in range(10)}) == 1 and len({found[i] for i in range(10, 20)}) == 1
 
 
-@pytest.mark.parametrize("name", ["commit_share", "join_prefix", "topic_members"])
-def test_whole_tables_give_more_than_subsets(spark, small, name):
-    assert catalog()[name + "_whole"].build(spark, small).count() > catalog()[name].build(spark, small).count()
-
-
-@pytest.mark.parametrize("name", ["active_path", "scan_counts_effective", "parse_ts"])
-def test_whole_events_give_more_than_prefixes(spark, small, name):
-    part, whole = (catalog()[n].build(spark, small) for n in (name, name + "_whole"))
-    if name == "scan_counts_effective":
-        part, whole = part.select("raw").groupBy().sum(), whole.select("raw").groupBy().sum()
-        assert whole.first()[0] > part.first()[0]
-    else:
-        assert whole.count() > part.count()
-
-
 def test_roots_of_a_deep_chain_and_a_cycle(spark):
     """The recursive query stopped at 100 levels."""
     from lumenlog.operators.ingest import roots_of
@@ -72,8 +59,8 @@ def test_roots_of_a_deep_chain_and_a_cycle(spark):
     assert roots_of(spark.createDataFrame([], "c long, p long"), "c", "p").collect() == []
 
 
-@pytest.mark.parametrize("name", ["passage_holders", "passage_holders_whole"])
-def test_holders_of_short_and_long_passages(spark, tmp_path, name):
+def test_holders_of_short_and_long_passages(spark, tmp_path):
+    name = "passage_holders"
     ten = "one two three four five six seven eight nine ten"
     items = [(1, "one two three"), (2, ten), (3, "Eight, words: that (make) up this one exactly"), (4, "zebra"), (5, ten + " eleven"), (6, ""), (7, None), (8, "six seven")]
     docs = ["x one two three y", "One two; three", "one two three four five six seven eight other", ten, ten + " eleven twelve", "eight words that make up this one exactly", "a zebra", "zebras", "", "...", None, "zebra zebra", "six seven"]
@@ -84,7 +71,7 @@ def test_holders_of_short_and_long_passages(spark, tmp_path, name):
         c.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
     got = {r.item_id: r.holders for r in catalog()[name].build(spark, str(tmp_path)).collect()}
     assert got == dict(c.execute(catalog()[name].sql).fetchall())
-    assert got[1] == 5 and got[4] == 2 and got[8] == 4 and got[5] == (1 if name.endswith("whole") else 3)
+    assert got[1] == 5 and got[4] == 2 and got[8] == 4 and got[5] == 1
 
 
 def test_ties_of_many_copies_go_to_the_least_ids(spark):
