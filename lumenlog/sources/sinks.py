@@ -2,15 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlog.functions.ids import shard
 
 
-def write_thread_log(events: DataFrame, path: str, thread: str = "thread_id", depth: int = 1) -> None:
-    """Append events in folders by the hash of their thread, clustered so that a thread's rows share files."""
-    events.withColumn("shard", shard(F.col(thread), depth)).repartition("shard").sortWithinPartitions(thread).write.mode("append").partitionBy("shard").parquet(path)
+def write_thread_log(events: DataFrame, path: str, thread: str = "thread_id", depth: int = 1, batch: int = 0) -> None:
+    """Write a batch of events in folders by the hash of their thread, clustered so that a thread's rows share files. A batch
+    has a folder of its own, so one that is written again takes its own place instead of doubling rows."""
+    placed = events.withColumn("shard", shard(F.col(thread), depth)).repartition("shard").sortWithinPartitions(thread)
+    placed.write.mode("overwrite").partitionBy("shard").parquet(f"{path}/batch={batch}")
+
+
+def append_rows(rows: DataFrame, path: str, batch: int, most_rows: int = 1_000_000) -> None:
+    """Append rows to a ledger of JSON lines as the segment of a batch, in files of at most `most_rows`; written again, a
+    segment replaces itself."""
+    rows.write.mode("overwrite").option("maxRecordsPerFile", most_rows).json(f"{path}/segment={batch:010d}")
+
+
+def save_vectors(vectors: DataFrame, path: str, space: str) -> None:
+    """Keep embeddings of one model's space; those of other spaces stay as they are."""
+    vectors.write.mode("overwrite").parquet(f"{path}/space={space}")
+
+
+def load_vectors(spark: SparkSession, path: str, space: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/space={space}")
 
 
 def extract_blobs(rows: DataFrame, data: str, key: str) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lumenlog.operators.metrics import merged_ledger, request_ledger
+from lumenlog.functions.shared import file_system, names_in
+from lumenlog.operators.metrics import fault_signature, merged_ledger, request_ledger
 
 
 def ledger_fold(stream: DataFrame, path: str, checkpoint: str, measures: list[str]) -> StreamingQuery:
@@ -27,15 +28,16 @@ def ledger_fold(stream: DataFrame, path: str, checkpoint: str, measures: list[st
         else:
             whole = merged_ledger(spark.read.parquet(f"{path}/v={batch_id - 1}"), batch, measures)
         whole.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        # The version before the one that was read can't be needed again, even if this batch is repeated.
+        files, old = file_system(spark, f"{path}/v={batch_id - 2}")
+        files.delete(old, True)
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def newest_ledger(spark: SparkSession, path: str) -> DataFrame:
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    names = [s.getPath().getName() for s in folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)]
-    return spark.read.parquet(f"{path}/v={max(int(n[2:]) for n in names if n.startswith('v='))}")
+    whole = [int(n[2:]) for n in names_in(spark, path) if n.startswith("v=") and "_SUCCESS" in names_in(spark, f"{path}/{n}")]
+    return spark.read.parquet(f"{path}/v={max(whole)}")
 
 
 def activity_stream(stream: DataFrame, thread: str, at: str) -> DataFrame:
@@ -64,3 +66,56 @@ def with_turns(stream: DataFrame) -> DataFrame:
         yield pd.DataFrame({"thread_id": rows["thread_id"], "event_id": rows["event_id"], "turn_no": numbers.astype("int64")})
 
     return stream.groupBy("thread_id").applyInPandasWithState(carry, "thread_id long, event_id long, turn_no long", "turn long", "append", GroupStateTimeout.NoTimeout)
+
+
+def poll(sources: dict[str, Callable[[], StreamingQuery]]) -> dict[str, str | None]:
+    """Run each source's query over what is new, in order; the error of each that failed, which keeps no other from running.
+    A query reads with trigger availableNow, and its checkpoint tells what it has read."""
+    out: dict[str, str | None] = {}
+    for name, start in sources.items():
+        try:
+            start().awaitTermination()
+            out[name] = None
+        except Exception as e:  # one source's failure is its own; it is reported, and tried again at the next poll
+            out[name] = f"{name}: {str(e)[:300]}"
+    return out
+
+
+def fault_counts(stream: DataFrame, message: str = "message") -> DataFrame:
+    """(signature, count) of faults whenever a signature's count reaches one, ten, a hundred, ...: enough to tell a blip from
+    an outage, and few rows. The count is kept across batches."""
+
+    def tally(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        before = state.get[0] if state.exists else 0
+        after = before + sum(len(b) for b in batches)
+        state.update((after,))
+        reached = [10**k for k in range(len(str(after))) if before < 10**k <= after]
+        yield pd.DataFrame({"signature": [key[0]] * len(reached), "count": reached})
+
+    signed = stream.select(fault_signature(F.col(message)).alias("signature"))
+    return signed.groupBy("signature").applyInPandasWithState(tally, "signature string, count long", "n long", "append", GroupStateTimeout.NoTimeout)
+
+
+def pending(docs: DataFrame, done: DataFrame, key: str = "doc_id", most: int | None = None) -> DataFrame:
+    """Documents that have no vector yet, the newest first, at most as many as one drain takes."""
+    left = docs.join(done.select(key), key, "left_anti").orderBy(F.desc(key))
+    return left if most is None else left.limit(most)
+
+
+def embedded(docs: DataFrame, embedder: Callable[[], Callable[[list[str]], list]], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, vec) by an embedder: a function that loads a model once a task and gives one that embeds a batch of texts."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        embed = embedder()
+        for batch in it:
+            yield pd.DataFrame({key: batch[key], "vec": [[float(x) for x in v] for v in embed(batch[text].tolist())]})
+
+    return docs.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text), F.lit("")).alias(text)).mapInPandas(run, f"{key} long, vec array<float>")
+
+
+def drain(docs: DataFrame, path: str, embedder, batch: int, key: str = "doc_id", text: str = "text", most: int = 10_000) -> None:
+    """Embed the newest documents that have no vector under `path`, as one part that a repeated drain writes again."""
+    spark = docs.sparkSession
+    parts = [n for n in names_in(spark, path) if n.startswith("part=") and n != f"part={batch}"]
+    done = spark.read.option("basePath", path).parquet(*[f"{path}/{n}" for n in parts]) if parts else spark.createDataFrame([], f"{key} long")
+    embedded(pending(docs, done, key, most), embedder, key, text).write.mode("overwrite").parquet(f"{path}/part={batch}")

@@ -38,7 +38,8 @@ def test_blobs_round_trip(spark):
 def test_thread_log(spark, tmp_path):
     rows = spark.createDataFrame([(i, f"t{i % 7}") for i in range(50)], "event_id long, thread_id string")
     sinks.write_thread_log(rows, str(tmp_path / "log"))
-    sinks.write_thread_log(rows.limit(0), str(tmp_path / "log"))
+    sinks.write_thread_log(rows, str(tmp_path / "log"))  # a repeated batch doubles nothing
+    sinks.write_thread_log(rows.limit(0), str(tmp_path / "log"), batch=1)
     back = spark.read.parquet(str(tmp_path / "log"))
     assert back.count() == 50 and back.select("thread_id", "shard").distinct().count() == 7
 
@@ -84,3 +85,68 @@ def test_streaming_dedup_and_activity(spark, tmp_path):
     q = folds.deduplicated(stream, ["thread_id", "key"]).writeStream.format("memory").queryName("firsts").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("select count(*) from firsts").first()[0] == rows.select("thread_id", "key").distinct().count()
+
+
+def _jsonl(path, rows):
+    path.write_text("\n".join(json.dumps(r) for r in rows))
+
+
+def test_turns_of_line_shapes(spark, tmp_path):
+    env = lambda kind, text, **more: {"type": "event_msg", "timestamp": "2024-01-01T00:00:00Z", "payload": {"type": kind, "message": text, **more}}
+    (tmp_path / "e").mkdir(), (tmp_path / "r").mkdir(), (tmp_path / "s").mkdir()
+    _jsonl(tmp_path / "e" / "a.jsonl", [{"type": "session_meta", "payload": {"model": "m1"}}, env("user_message", "q1"), env("agent_message", "a"), env("agent_message", "b"), env("user_message", "q2"), env("agent_message", ""), env("user_message", "q3"), env("agent_message", "c", model="m2")])
+    got = [(r.role, r.text, r.model) for r in ledgers.read_sessions(spark, "envelope", str(tmp_path / "e"))[0].orderBy("lineno").collect()]
+    assert got == [("user", "q1", "m1"), ("assistant", "a\nb", "m1"), ("user", "q2", "m1"), ("user", "q3", "m1"), ("assistant", "c", "m2")]
+    _jsonl(tmp_path / "r" / "a.jsonl", [{"type": "system", "content": "s"}, {"type": "user", "content": "q"}, {"type": "reasoning", "summary": "hm"}, {"type": "assistant", "content": "a"}, {"type": "tool_result", "content": "r"}, {"type": "user", "content": "q"}])
+    got = [(r.role, r.text) for r in ledgers.read_sessions(spark, "roles", str(tmp_path / "r"))[0].orderBy("lineno").collect()]
+    assert got == [("system", "s"), ("user", "q"), ("assistant", "hm\na\nr"), ("user", "q")]
+    _jsonl(tmp_path / "s" / "a.jsonl", [{"step_index": 0, "source": "USER_EXPLICIT", "type": "USER_INPUT", "content": "<user_request>\ndo it\n</user_request>"}, {"step_index": 1, "source": "MODEL", "type": "PLANNER_RESPONSE", "content": "ok"}])
+    got = [(r.role, r.text) for r in ledgers.read_sessions(spark, "steps", str(tmp_path / "s"))[0].orderBy("lineno").collect()]
+    assert got == [("user", "do it"), ("assistant", "ok")]
+
+
+def test_results_pair_with_calls(spark):
+    steps = spark.createDataFrame([("t", i, k) for i, k in enumerate(["result", "call", "call", "result", "text", "result", "call"])], "thread_id string, event_id long, kind string")
+    got = [r.call_id for r in ledgers.paired_results(steps).orderBy("event_id").collect()]
+    assert got == ["orphan-1", "agtool-1", "agtool-2", "agtool-2", "orphan-3", "agtool-3"]
+
+
+def test_ledger_segments(spark, tmp_path):
+    for name, n in (("l.jsonl", 6), ("l.jsonl.2", 1), ("l.jsonl.10", 2), ("l.jsonl.20240101T000000Z", 3), ("l.jsonl.20240101T000000Z.2", 4), ("l.jsonl.20240101T000000Z.10", 5)):
+        (tmp_path / name).write_text(f'{{"n": {n}}}\n{{"n": 0.5}}\n{{"torn')
+    rows = ledgers.ledger_rows(spark, str(tmp_path / "l.jsonl")).orderBy("segment_no", "lineno").select(F.try_variant_get("payload", "$.n", "double").alias("n")).collect()
+    assert [r.n for r in rows] == [x for n in range(1, 7) for x in (float(n), 0.5)]
+    for _ in range(2):
+        sinks.append_rows(spark.range(25), str(tmp_path / "out"), 3, most_rows=10)
+    assert spark.read.json(str(tmp_path / "out")).count() == 25
+
+
+def test_poll_isolates_failures(spark, tmp_path):
+    rows = spark.createDataFrame([(f"job {i} failed",) for i in range(120)] + [("other: /a/b",)], "message string")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+
+    def counts():
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        return folds.fault_counts(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+
+    def broken():
+        raise RuntimeError("no such store")
+
+    said = folds.poll({"broken": broken, "counts": counts})
+    assert "no such store" in said["broken"] and said["counts"] is None
+    want = [("job N failed", 1), ("job N failed", 10), ("job N failed", 100), ("other: <path>", 1)]
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == want
+    assert folds.poll({"counts": counts}) == {"counts": None}  # nothing is new
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == want
+
+
+def test_drains_take_the_newest(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "x" * i) for i in range(25)], "doc_id long, text string")
+    embedder = lambda: lambda texts: [[len(t), 1.0] for t in texts]
+    seen = []
+    for batch in (0, 1, 1, 2):
+        folds.drain(docs, str(tmp_path / "v"), embedder, batch, most=10)
+        seen.append(sorted(r.doc_id for r in spark.read.parquet(str(tmp_path / "v")).collect()))
+    assert seen == [list(range(15, 25)), list(range(5, 25)), list(range(5, 25)), list(range(25))]
+    sinks.save_vectors(spark.read.parquet(str(tmp_path / "v")), str(tmp_path / "side"), "m1")
+    assert sinks.load_vectors(spark, str(tmp_path / "side"), "m1").count() == 25
