@@ -69,7 +69,8 @@ class Embedding:
         self.classes = classes
         # Walk and class -> the steps sampled, among those that two flips a word would take.
         sampled = {(w, c): np.sort(r.choice(np.arange(2 * c - c // 2), min(SAMPLES, c), replace=False)) for w in range(WALKS) for c in CLASSES}
-        self.sampled = {k: x for k, x in sampled.items() if k[1] in classes}
+        self.chosen = {k: frozenset(x.tolist()) for k, x in sampled.items() if k[1] in classes}
+        self.last = {k: max(x) for k, x in self.chosen.items()}
         self.steps = 2 * max(classes, default=0)
         self.salt = r.integers(1, 1 << 32, (WALKS, 2 * CLASSES[-1]), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
         #: Pairs of words that are starts besides, by a hash of 20 bits: set for items with few starts of their own.
@@ -80,25 +81,36 @@ class Embedding:
         mixed = (h[:-1] * np.uint32(0x85EBCA6B)) ^ (h[1:] * np.uint32(0xC2B2AE35))
         return (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
 
-    def starts(self, h: np.ndarray, c: int) -> np.ndarray:
-        """Places whose two words hash to a multiple of the class's modulus, or are a start of the class besides."""
+    def starts(self, h: np.ndarray, classes: tuple[int, ...] | None = None) -> dict[int, np.ndarray]:
+        """For each class the places whose two words hash to a multiple of its modulus, or are a start of it besides."""
+        classes = self.classes if classes is None else classes
         if len(h) < 2:
-            return np.zeros(0, np.int64)
+            return {c: np.zeros(0, np.int64) for c in classes}
         mixed = self.pairs(h)
-        return np.flatnonzero(((mixed >> np.uint32(8)) % np.uint32(START_MODULUS[c]) == 0) | self.more[c][mixed >> np.uint32(12)])
-
-    def keys(self, h: np.ndarray, starts: np.ndarray, walk: int, c: int) -> np.ndarray:
-        """Sampled keys of the windows of class `c` at `starts`. `h` must go on for 2 c words after a start."""
-        at = starts.astype(np.int32)
-        key = np.full(len(at), c, np.uint32)
-        sampled = self.sampled[walk, c]
-        for j in range(int(sampled[-1]) + 1):
-            symbol = h[at]
-            if j in sampled:
-                key = (key ^ symbol) * np.uint32(0x9E3779B1)
-                key ^= key >> np.uint32(15)
-            at += ((symbol * self.salt[walk, j]) >> np.uint32(31)).astype(np.int32)
-        return key
+        high, low = mixed >> np.uint32(12), mixed >> np.uint32(8)
+        return {c: np.flatnonzero((low % np.uint32(START_MODULUS[c]) == 0) | self.more[c][high]) for c in classes}
+
+    def keys(self, h: np.ndarray, starts: dict[int, np.ndarray], walk: int) -> dict[int, np.ndarray]:
+        """For each class the sampled keys of the windows at its starts. Classes share their walks: all windows take the
+        steps of the shortest class, then those of longer ones go on. `h` must go on for 2 c words after a start."""
+        order = sorted(starts)
+        active = np.unique(np.concatenate(list(starts.values()))) if order else np.zeros(0, np.int64)
+        at, key, step, out = active.astype(np.int32), {c: np.full(len(active), c, np.uint32) for c in order}, 0, {}
+        for n, c in enumerate(order):
+            while step <= self.last[walk, c]:
+                symbol = h[at]
+                for k in order[n:]:
+                    if step in self.chosen[walk, k]:
+                        key[k] = (key[k] ^ symbol) * np.uint32(0x9E3779B1)
+                        key[k] ^= key[k] >> np.uint32(15)
+                at += ((symbol * self.salt[walk, step]) >> np.uint32(31)).astype(np.int32)
+                step += 1
+            out[c] = key[c][np.searchsorted(active, starts[c])]
+            if rest := order[n + 1 :]:
+                longer = np.unique(np.concatenate([starts[k] for k in rest]))
+                kept = np.searchsorted(active, longer)
+                active, at, key = longer, at[kept], {k: key[k][kept] for k in rest}
+        return out
 
 
 def _table(rows) -> tuple:
@@ -125,7 +137,7 @@ class Items:
         rows = {(w, c): [] for w in range(WALKS) for c in self.classes}
         for h in self.words:
             c = class_of(len(h))
-            if c and (self.embedding.starts(h, c) <= len(h) - c).sum() < LEAST_STARTS:
+            if c and (self.embedding.starts(h, (c,))[c] <= len(h) - c).sum() < LEAST_STARTS:
                 places = np.linspace(0, len(h) - c, LEAST_STARTS).astype(np.int64)
                 self.embedding.more[c][self.embedding.pairs(h)[places] >> np.uint32(12)] = True
         for n, h in enumerate(self.words):
@@ -134,10 +146,10 @@ class Items:
                 if len(h):
                     self.short.setdefault(int(h[0]), []).append(n)
                 continue
-            own = self.embedding.starts(h, c)
+            own = self.embedding.starts(h, (c,))[c]
             own = own[own <= len(h) - c]
             for w in range(WALKS):
-                keys = self.embedding.keys(np.concatenate([h, pad]), own, w, c)
+                keys = self.embedding.keys(np.concatenate([h, pad]), {c: own}, w)[c]
                 # A key that repeats within an item leads to its first and last place there.
                 last = {int(k): int(s) for k, s in zip(keys, own)}
                 first = {int(k): int(s) for k, s in zip(keys[::-1], own[::-1])}
@@ -175,10 +187,10 @@ class Items:
         for q, pieces in self.pieces.items():
             runs = _runs(h, q)
             look_up(pieces, runs, np.arange(len(runs)))
-        for c in self.classes:
-            starts = self.embedding.starts(h[: len(h) - self.embedding.steps], c)
-            for w in range(WALKS):
-                look_up(self.tables[w, c], self.embedding.keys(h, starts, w, c), starts)
+        starts = self.embedding.starts(h[: len(h) - self.embedding.steps])
+        for w in range(WALKS if self.classes else 0):
+            for c, found in self.embedding.keys(h, starts, w).items():
+                look_up(self.tables[w, c], found, starts[c])
         for i in np.flatnonzero(np.isin(h, np.array(list(self.short), np.uint32))) if self.short else ():
             items.append(np.array(self.short[int(h[i])]))
             places.append(np.full(len(items[-1]), i))
