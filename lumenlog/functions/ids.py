@@ -36,6 +36,11 @@ def dedup_key(message_id: Column, event_type: Column, part: Column, digest: Colu
     return F.concat_ws(":", F.coalesce(message_id, F.concat(F.lit("c="), digest)), event_type, F.coalesce(part, F.lit("")), digest)
 
 
+def key_part(tool_call_id: Column, block_index: Column) -> Column:
+    """What tells events of one message apart: the tool's call, or the block's place."""
+    return F.coalesce(F.concat(F.lit("tool="), F.nullif(tool_call_id, F.lit(""))), F.concat(F.lit("blk="), block_index.cast("string")), F.lit(""))
+
+
 def shard(thread_id: Column, depth: int) -> Column:
     """Folder of a thread: `depth` levels, each a byte of the SHA-256 of its id."""
     digest = F.sha2(thread_id.cast("string").cast("binary"), 256)

@@ -40,10 +40,10 @@ def day_axis(rows: DataFrame, at: str) -> DataFrame:
 
 
 def folded_top(rows: DataFrame, name: str, value: str, k: int, other: str = "other") -> DataFrame:
-    """Sums by name, all but the k largest folded into one; names are aggregated before they are ranked."""
+    """Sums by name, all but the k largest folded into one: k names are all that is broadcast."""
     sums = rows.groupBy(name).agg(F.sum(value).alias(value))
-    order = Window.orderBy(F.desc(value), name)  # over one row a name
-    kept = sums.withColumn(name, F.when(F.row_number().over(order) <= k, F.col(name)).otherwise(F.lit(other)))
+    top = sums.orderBy(F.desc(value), name).limit(k).select(F.col(name).alias("__top"))
+    kept = sums.join(F.broadcast(top), F.col(name) == F.col("__top"), "left").withColumn(name, F.coalesce("__top", F.lit(other)))
     return kept.groupBy(name).agg(F.sum(value).alias(value))
 
 

@@ -49,14 +49,12 @@ def anchor(touches: DataFrame, by: list[str], op: str = "op", event: str = "even
     return touches.groupBy(*by).agg(F.min(F.struct(rank.alias("r"), (-F.col(event)).alias("e"))).alias("best")).select(*by, (-F.col("best.e")).alias("anchor"))
 
 
-def in_windows(touches: DataFrame, windows: DataFrame, key: str, at: str) -> DataFrame:
-    """Touches in (floor, ceiling] of a window of their key; a null floor is open. An equi-join on the key carries the band."""
-    return touches.join(windows, key).filter((F.col(at) <= F.col("ceiling")) & (F.col("floor").isNull() | (F.col(at) > F.col("floor"))))
-
-
-def authorship_windows(commits: DataFrame, key: str, at: str) -> DataFrame:
-    """(key, ceiling, floor): each commit's time, and that of the commit before it on the same key."""
-    return commits.select(key, F.col(at).alias("ceiling"), F.lag(at).over(Window.partitionBy(key).orderBy(at)).alias("floor"))
+def by_next(touches: DataFrame, commits: DataFrame, key: str, at: str, commit: str) -> DataFrame:
+    """Touches with the `commit` that they belong to: the next of their key at or after them, so those between two commits
+    go to the later one. One sort of both by time within a key, no pairs; touches after the last commit are left out."""
+    both = touches.select(key, at, F.lit(0).alias("__kind"), F.lit(None).cast("long").alias(commit)).unionByName(commits.select(key, at, F.lit(1).alias("__kind"), F.col(commit).cast("long").alias(commit)))
+    onwards = Window.partitionBy(key).orderBy(at, "__kind", commit).rowsBetween(0, Window.unboundedFollowing)
+    return both.withColumn(commit, F.first(commit, ignorenulls=True).over(onwards)).filter(f"__kind = 0 and {commit} is not null").drop("__kind")
 
 
 def prefix_either_way(a: DataFrame, b: DataFrame, x: str, y: str, block: int = 4) -> DataFrame:

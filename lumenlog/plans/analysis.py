@@ -143,10 +143,9 @@ with c as (select o_orderkey as commit_id, o_custkey as path, o_orderdate as cei
 select c.commit_id, count(*)::bigint as touches from c join t on c.path = t.path and t.at <= c.ceiling and (c.floor is null or t.at > c.floor) group by 1""")
 def interval_window(spark, d):
     o = table(spark, d, "orders")
-    own = Window.partitionBy("path").orderBy("ceiling", "commit_id")
-    c = o.filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("commit_id"), F.col("o_custkey").alias("path"), F.col("o_orderdate").alias("ceiling")).withColumn("floor", F.lag("ceiling").over(own))
-    t = o.filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("path"), F.col("o_orderdate").alias("at"))
-    return provenance.in_windows(t, c, "path", "at").groupBy("commit_id").agg(F.count(F.lit(1)).alias("touches"))
+    rows = lambda status, *more: o.filter(F.col("o_orderstatus") == status).select(F.col("o_custkey").alias("path"), F.col("o_orderdate").alias("at"), *more)
+    found = provenance.by_next(rows("F"), rows("P", F.col("o_orderkey").alias("commit_id")), "path", "at", "commit_id")
+    return found.groupBy("commit_id").agg(F.count(F.lit(1)).alias("touches"))
 
 
 def _join_prefix(customer, orders):

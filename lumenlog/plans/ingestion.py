@@ -259,6 +259,9 @@ def validate_content(spark, d):
 
 @query()
 def content_hashes(spark, d):
+    """Keys of messages: some with an id, some with the call of a tool, some with the place of a block."""
     payload = F.to_json(F.struct(F.col("text").alias("content"), F.col("role").alias("who")))
     m = messages(spark, d).withColumn("h", ids.content_hash(payload))
-    return m.select("event_id", ids.dedup_key(F.lit(None).cast("string"), F.col("role"), F.lit(None).cast("string"), F.col("h")).alias("dedup_key"))
+    known = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("m"), F.col("event_id").cast("string")))
+    part = ids.key_part(F.when(F.col("turn") % 3 == 0, F.concat(F.lit("t"), F.col("turn").cast("string"))), F.when(F.col("turn") % 3 == 1, F.col("turn")))
+    return m.select("event_id", ids.dedup_key(known, F.col("role"), part, F.col("h")).alias("dedup_key"))

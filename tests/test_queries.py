@@ -1,6 +1,11 @@
 """Every query with SQL is held against DuckDB on the small tables."""
 
+import hashlib
+import json
 import math
+import pathlib
+import re
+from collections import Counter
 
 import duckdb
 import pytest
@@ -89,3 +94,37 @@ def test_communities_settle(spark):
     found = {r.node: r.community for r in communities(spark.createDataFrame(chain, "a long, b long, weight double")).collect()}
     assert found == {i: 0 for i in range(14)}
     assert communities(spark.createDataFrame([], "a long, b long, weight double")).collect() == []
+
+
+def test_keys_of_messages(spark, small):
+    want = {}
+    for r in spark.read.parquet(f"{small}/conversations.parquet").collect():
+        event_id = r.conv_id * 1_000_000 + r.turn
+        digest = hashlib.sha256(json.dumps({"content": r.text}, sort_keys=True, ensure_ascii=False).encode()).hexdigest()[:16]
+        part = ("tool=t" if r.turn % 3 == 0 else "blk=") + str(r.turn) if r.turn % 3 < 2 else ""
+        want[event_id] = ":".join([f"m{event_id}" if event_id % 2 == 0 else f"c={digest}", r.role, part, digest])
+    assert {r.event_id: r.dedup_key for r in catalog()["content_hashes"].build(spark, small).collect()} == want
+
+
+def test_stemmed_counts(spark, small):
+    from lumenlog.functions.stemming import stem
+
+    df, tf = Counter(), Counter()
+    for r in spark.read.parquet(f"{small}/conversations.parquet").collect():
+        found = Counter(s for w in re.findall(r"[^\W_]+", r.text.lower()) if (s := stem(w)) in ("that", "from", "licens"))
+        tf.update(found), df.update(found.keys())
+    assert {r.stem: (r.df, r.tf) for r in catalog()["bm25_stemmed"].build(spark, small).collect()} == {s: (df[s], tf[s]) for s in tf}
+
+
+def test_files_on_disk(spark, small):
+    want = {p.name.removesuffix(".parquet"): p.stat().st_size for p in pathlib.Path(small).glob("*.parquet")}
+    assert {r.kind: r.bytes for r in catalog()["files_on_disk"].build(spark, small).collect()} == want
+
+
+def test_communities_of_cliques(spark):
+    """Two cliques and a bridge; merging never lowers modularity below that of the cliques."""
+    from lumenlog.operators.vectors import communities
+
+    edges = [(a, b, 1.0) for base in (0, 10) for a in range(base, base + 6) for b in range(a + 1, base + 6)] + [(5, 10, 0.5)]
+    found = {r.node: r.community for r in communities(spark.createDataFrame(edges, "a long, b long, weight double")).collect()}
+    assert found == {i: 0 for i in range(6)} | {i: 10 for i in range(10, 16)}
