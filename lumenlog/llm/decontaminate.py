@@ -90,13 +90,28 @@ class Embedding:
         high, low = mixed >> np.uint32(12), mixed >> np.uint32(8)
         return {c: np.flatnonzero((low % np.uint32(START_MODULUS[c]) == 0) | self.more[c][high]) for c in classes}
 
-    def keys(self, h: np.ndarray, starts: dict[int, np.ndarray], walk: int) -> dict[int, np.ndarray]:
-        """For each class the sampled keys of the windows at its starts. Classes share their walks: all windows take the
-        steps of the shortest class, then those of longer ones go on. `h` must go on for 2 c words after a start."""
-        order = sorted(starts)
-        active = np.unique(np.concatenate(list(starts.values()))) if order else np.zeros(0, np.int64)
-        at, key, step, out = active.astype(np.int32), {c: np.full(len(active), c, np.uint32) for c in order}, 0, {}
+    def shared(self, starts: dict[int, np.ndarray], size: int) -> list[tuple]:
+        """How classes share their walks over a text of `size` words: for each class in order, its number of windows among
+        those that still go on, where its own are among them, and which of them go on after it."""
+        order, out, place = sorted(starts), [], np.zeros(size, np.int64)
+        going = [np.zeros(size, bool) for _ in order]
         for n, c in enumerate(order):
+            for earlier in going[: n + 1]:
+                earlier[starts[c]] = True
+        active = [np.flatnonzero(g) for g in going] + [np.zeros(0, np.int64)]
+        for n, c in enumerate(order):
+            place[active[n]] = np.arange(len(active[n]))
+            out.append((c, active[n], place[starts[c]], place[active[n + 1]]))
+        return out
+
+    def keys(self, h: np.ndarray, shared: list[tuple], walk: int) -> dict[int, np.ndarray]:
+        """For each class the sampled keys of the windows at its starts: all windows take the steps of the shortest class,
+        then those of longer ones go on. `h` must go on for 2 c words after a start."""
+        order, out, step = [c for c, *_ in shared], {}, 0
+        if order:
+            at = shared[0][1].astype(np.int32)
+            key = {c: np.full(len(at), c, np.uint32) for c in order}
+        for n, (c, _, own, going_on) in enumerate(shared):
             while step <= self.last[walk, c]:
                 symbol = h[at]
                 for k in order[n:]:
@@ -105,11 +120,8 @@ class Embedding:
                         key[k] ^= key[k] >> np.uint32(15)
                 at += ((symbol * self.salt[walk, step]) >> np.uint32(31)).astype(np.int32)
                 step += 1
-            out[c] = key[c][np.searchsorted(active, starts[c])]
-            if rest := order[n + 1 :]:
-                longer = np.unique(np.concatenate([starts[k] for k in rest]))
-                kept = np.searchsorted(active, longer)
-                active, at, key = longer, at[kept], {k: key[k][kept] for k in rest}
+            out[c] = key[c][own]
+            at, key = at[going_on], {k: key[k][going_on] for k in order[n + 1 :]}
         return out
 
 
@@ -148,8 +160,9 @@ class Items:
                 continue
             own = self.embedding.starts(h, (c,))[c]
             own = own[own <= len(h) - c]
+            alone = self.embedding.shared({c: own}, len(h))
             for w in range(WALKS):
-                keys = self.embedding.keys(np.concatenate([h, pad]), {c: own}, w)[c]
+                keys = self.embedding.keys(np.concatenate([h, pad]), alone, w)[c]
                 # A key that repeats within an item leads to its first and last place there.
                 last = {int(k): int(s) for k, s in zip(keys, own)}
                 first = {int(k): int(s) for k, s in zip(keys[::-1], own[::-1])}
@@ -188,8 +201,9 @@ class Items:
             runs = _runs(h, q)
             look_up(pieces, runs, np.arange(len(runs)))
         starts = self.embedding.starts(h[: len(h) - self.embedding.steps])
+        shared = self.embedding.shared(starts, len(h))
         for w in range(WALKS if self.classes else 0):
-            for c, found in self.embedding.keys(h, starts, w).items():
+            for c, found in self.embedding.keys(h, shared, w).items():
                 look_up(self.tables[w, c], found, starts[c])
         for i in np.flatnonzero(np.isin(h, np.array(list(self.short), np.uint32))) if self.short else ():
             items.append(np.array(self.short[int(h[i])]))
