@@ -160,3 +160,15 @@ def test_fault_signatures_of_long_ids(spark, tmp_path):
     got, want = catalog()[name].build(spark, str(tmp_path)), c.execute(catalog()[name].sql)
     names = [x[0] for x in want.description]
     assert rows(got.columns, got.collect()) == rows(names, want.fetchall())
+
+
+def test_references_of_late_events(spark, tmp_path):
+    """Events from id 1000000 on count as any others: the SQL's bound leaves them out, the query doesn't."""
+    name, ids = "resolve_ref", [*range(8), *range(999_996, 1_000_012), *range(5_999_992, 6_000_000), 2**53]
+    made = spark.createDataFrame([(i, i // 2) for i in ids], "event_id long, user_id long")
+    made.selectExpr("*", "timestamp_seconds(event_id % 1000) as ts").write.parquet(f"{tmp_path}/events.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    got = [(r.ref, r.thread_id) for r in catalog()[name].build(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(c.execute(catalog()[name].sql.replace(" where event_id < 1000000", "")).fetchall())
+    assert len(got) == len(ids) and set(got) >= set(c.execute(catalog()[name].sql).fetchall())
